@@ -45,3 +45,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+URLS = r"""
+WITH r AS (SELECT page_id, CASE WHEN url IS NOT NULL AND contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM r),
+u AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^?#]*') AS path FROM h),
+v AS (SELECT *, CASE
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN ends_with('.' || host, '.com') AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN contains('.' || host, '.spam-') OR contains('.' || host, '.cheap-') OR (contains(host, 'casino') AND path LIKE '/%') OR regexp_matches(path, '^/.*.sessionid=') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM v
+"""

@@ -14,6 +14,7 @@ from .quality import quality
 from .secrets import find_secrets
 from .simhash import near_duplicates
 from .tokenizer import token_counts
+from .urls import filter_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_decontaminate": op3_decontaminate,
@@ -57,9 +62,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_url_filters": op9_url_filters,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontaminate": oracle.DECONTAMINATE,
     "op5_quality_rules": oracle.QUALITY,
+    "op9_url_filters": oracle.URLS,
 }

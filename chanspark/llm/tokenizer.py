@@ -11,18 +11,18 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: Entries of a worker's dictionary, and the longest chunk (in characters) that may enter it: 100 MB at most.
+#: Entries of a worker's dictionary, and the longest chunk (in characters) that may enter it: about 200 bytes each.
 MAX_ENTRIES = 300_000
 MAX_CHUNK = 48
 #: Texts (by characters) that are looked at together.
@@ -77,16 +77,22 @@ class PieceCounter:
         return text.split(" ")
 
 
-#: Characters that Python or the library may take for white space; a space next to one is no chunk border.
-_NEAR_SPACE = re.compile(r"\s\s|^\s|\s\Z")
+#: A space inside a run of white space, or at the text's end, is no border of chunks: this finds the texts to look at.
+_ODD = re.compile(r" [^\S ]")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: Signs for a full stop, a comma, a line end, and a word without a space in front.
+_STOP, _COMMA, _LINE, _BARE = "\x03", "\x04", "\x06", "\x05"
+_SIGNS = re.compile("[\x03-\x06]")
+_PLAIN = re.compile("\x05?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
 class ByteEncoder:
     """Ids of a byte-level BPE by the tokenizers library, as little-endian 32-bit strings.
 
     The pre-tokenizer's pattern lets a single space begin a new pre-token wherever characters other than white space
-    stand on both sides of it; special strings hold no space. So texts are cut there.
+    stand on both sides of it; special strings hold no space. So texts are cut there. Most texts are words of Latin
+    letters with full stops, commas and line ends between them, all of them pre-tokens of their own; such a text is cut
+    into these, as they recur far more often than whole chunks. Any other text is cut into chunks only.
     """
 
     def __init__(self, path: str):
@@ -94,28 +100,66 @@ class ByteEncoder:
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        self.words = dict(zip((_STOP, _COMMA, _LINE), self.code([".", ",", "\n"]), strict=True))
+        self.chunks: dict[str, bytes] = {}
+
+    def code(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(pieces), 20_000):
+            for e in self.model.encode_batch_fast(pieces[at : at + 20_000], add_special_tokens=False):
+                ids = e.ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [self.chunks(t) for t in texts]
-        known = self.known
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        coded = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                coded[c] = np.array(e.ids, dtype="<u4").tobytes()
-        for chunks in cut:
-            yield b"".join([known[c] if c in known else coded[c] for c in chunks])
-        room = MAX_ENTRIES - len(known)
-        known.update((c, coded[c]) for c in [c for c in new if len(c) <= MAX_CHUNK][: max(0, room)])
+        out: list[bytes | None] = [None] * len(texts)
+        get, late, new = self.words.get, [], set()
+        for n, t in enumerate(texts):
+            if not t or (units := self.units(t)) is None:
+                continue
+            ids = list(map(get, units))
+            if None in ids:
+                new.update([u for u, i in zip(units, ids, strict=True) if i is None])
+                late.append((n, units, ids))
+            else:
+                out[n] = b"".join(ids)
+        plain = [u for u in new if _PLAIN.fullmatch(u)]
+        fresh = dict(zip(plain, self.code([u[1:] if u[0] == _BARE else " " + u for u in plain]), strict=True))
+        for n, units, ids in late:
+            whole = [fresh.get(u) if i is None else i for u, i in zip(units, ids, strict=True)]
+            if None not in whole:
+                out[n] = b"".join(whole)
+        self.words.update((u, fresh[u]) for u in [u for u in plain if len(u) <= MAX_CHUNK][: max(0, 2 * MAX_ENTRIES - len(self.words))])
+        rest = [n for n in range(len(texts)) if out[n] is None]
+        for n, ids in zip(rest, self.by_chunks([texts[n] for n in rest]), strict=True):
+            out[n] = ids
+        return out
+
+    @staticmethod
+    def units(text: str) -> list[str] | None:
+        """Words and signs, if single spaces and line ends are all the white space there is to see."""
+        if text[-1] in " \n" or "  " in text or _ODD.search(text) or _SIGNS.search(text):
+            return None
+        stop = text[-1] == "."
+        line = f" {_LINE} {_BARE}"
+        marked = (text[:-1] if stop else text).replace(".\n", f" {_STOP}{line}").replace("\n", line).replace(". ", f" {_STOP} ").replace(", ", f" {_COMMA} ")
+        units = (_BARE + marked).split(" ")
+        return [*units, _STOP] if stop else units
+
+    def by_chunks(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        new = list({c for chunks in cut for c in chunks if c not in self.chunks})
+        coded = dict(zip(new, self.code(new), strict=True))
+        out = [b"".join([self.chunks[c] if c in self.chunks else coded[c] for c in chunks]) for chunks in cut]
+        self.chunks.update((c, coded[c]) for c in [c for c in new if len(c) <= MAX_CHUNK][: max(0, MAX_ENTRIES // 2 - len(self.chunks))])
+        return out
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
+    def cut(text: str) -> list[str]:
         if not text:
             return []
-        first, *rest = _BORDER.split(text) if _NEAR_SPACE.search(text) else text.split(" ")
+        first, *rest = _BORDER.split(text) if text[-1] == " " or "  " in text or _ODD.search(text) else text.split(" ")
         return [first, *[" " + c for c in rest]]
 
 

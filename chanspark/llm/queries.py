@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .decontaminate import decontaminate
+from .extract import main_text
 from .language import identify, train
 from .packing import pack
 from .quality import quality
@@ -15,6 +16,7 @@ from .secrets import find_secrets
 from .simhash import near_duplicates
 from .tokenizer import token_counts
 from .urls import filter_urls
+from .warc import derive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,8 +60,13 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_main_text": op2_main_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
@@ -63,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_url_filters": op9_url_filters,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ORACLES: dict[str, str] = {

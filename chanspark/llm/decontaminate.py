@@ -102,7 +102,7 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
     # Candidates that turned out wrong add nothing; every row of docs has the one row that comes without a candidate.
     met = met.where(F.col("hit").isNotNull() | F.col("k").isNull())
     folded = met.groupBy("id", "text_hash", "n_words").agg(F.sum(F.col("k").isNull().cast("int")).alias("copies"), F.sort_array(F.collect_set("hit")).alias("hits"))
-    return folded.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "id", "n_words", "hits").select(F.col("id").alias(key), "n_words", "hits")
+    return folded.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "id", "text_hash", "n_words", "hits").select(F.col("id").alias(key), "text_hash", "n_words", "hits")
 
 
 def _hasher(words: Column, size: int):
@@ -132,10 +132,11 @@ def summary(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """Per row of docs, how much of it stands in the benchmark and from how many items."""
-    return summary(hits(docs, cut(item_windows(items, item_text, item_key)), text, key))
+    return summary(hits(docs, cut(item_windows(items, item_text, item_key)), text, key).drop("text_hash"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that hold no window of an item, with docs' own columns."""
-    dirty = cut(decontaminate(docs, items, text, key).where("contaminated").select(F.col(f"`{key}`").alias("__c_id")).distinct())
-    return docs.join(small(dirty, MAX_DIRTY), docs[key].eqNullSafe(dirty["__c_id"]), "left_anti")
+    found = hits(docs, cut(item_windows(items)), text, key).where(F.size("hits") > 0)
+    dirty = cut(found.select(F.col(f"`{key}`").alias("__c_id"), F.col("text_hash").alias("__c_hash")).distinct())
+    return docs.join(small(dirty, MAX_DIRTY), F.col(f"`{key}`").eqNullSafe(F.col("__c_id")) & (F.xxhash64(text_of(text)) == F.col("__c_hash")), "left_anti")

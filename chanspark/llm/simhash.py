@@ -12,7 +12,7 @@ Components come from alternating large-star and small-star steps, each cut by a
 
 Nulls and ties: a null text has no words, hence fingerprint zero, linked like any other. Repeated rows get the same
 fingerprint and component. A null id never names a component; a component without any id has a null name. An empty table
-gives an empty result.
+gives an empty result. The graph's nodes are the distinct fingerprints, so ids may repeat or be missing.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, map_batches
+from .common import cut, map_arrow, map_batches, text_of
 
 SHINGLE = 4
 SEED = 42
@@ -54,29 +54,34 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Id and fingerprint (as a signed long) of every row."""
+    """Id, hash of the text, and fingerprint (as a signed long) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
+        values = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["id", "text_hash", "fp"])
 
-    return map_batches(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), run, "id long, fp long")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), _text_hash(text).alias("text_hash"), F.col(f"`{text}`").cast("string").alias("text"))
+    return map_batches(rows, run, "id long, text_hash long, fp long")
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(text_of(text))
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (fp, id): a row for every mask and variant; the key's two top bits tell the masks apart."""
+    """For each fingerprint: a row for every mask and variant; the mask's number stands in the bits that it leaves out."""
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
-            fp, own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)
+            fp = batch.column(0).to_numpy().view(np.uint64)
             for n, (mask, flips) in enumerate(zip(_MASKS, _FLIPS, strict=True)):
                 kept = (fp & mask)[:, None] ^ flips[None, :]
                 # The left-out block is zero now; its lowest bits make room for the mask's number.
                 keys = (kept | np.uint64((n + 1) << _BLOCKS[n].start)).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp.view(np.int64), len(flips))), pa.array(np.repeat(own, len(flips)))], names=["key", "fp", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(fp.view(np.int64), len(flips)))], names=["key", "fp"])
 
 
-def _forest(fp: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect the members of a bucket exactly as its links do: breadth first, over those not reached yet."""
     edges, left = [], np.arange(len(fp))
     while len(left):
@@ -86,40 +91,41 @@ def _forest(fp: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
             near = np.bitwise_count(fp[left] ^ fp[x]) <= RADIUS
             if near.any():
                 reached, left = left[near], left[~near]
-                edges += [(int(own[x]), int(own[y])) for y in reached]
+                edges += [(int(x), int(y)) for y in reached]
                 queue += reached.tolist()
     return edges
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forest edges of the buckets of a partition sorted by key. Holds one bucket and one batch at a time."""
-    key = fp = own = None
+    key = fp = None
 
-    def close(key: np.ndarray, fp: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    def close(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        own = fp.view(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         two = starts[sizes == 2]
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
         a, b = [own[two]], [own[two + 1]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if edges := _forest(fp[s : s + n], own[s : s + n]):
-                x, y = np.array(edges, dtype=np.int64).T
-                a.append(x), b.append(y)
+            if edges := _forest(fp[s : s + n]):
+                x, y = np.array(edges, dtype=np.int64).T + s
+                a.append(own[x]), b.append(own[y])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     for batch in batches:
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)]
         if not len(new[0]):
             continue
-        key, fp, own = new if key is None else [np.concatenate(x) for x in zip((key, fp, own), new, strict=True)]
+        key, fp = new if key is None else [np.concatenate(x) for x in zip((key, fp), new, strict=True)]
         last = int(np.searchsorted(key, key[-1], side="left"))  # the last bucket may go on in the next batch
         if last:
-            yield close(key[:last], fp[:last], own[:last])
-            key, fp, own = key[last:].copy(), fp[last:].copy(), own[last:].copy()
+            yield close(key[:last], fp[:last])
+            key, fp = key[last:].copy(), fp[last:].copy()
     if key is not None:
-        yield close(key, fp, own)
+        yield close(key, fp)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -146,17 +152,35 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """Adds to (id, fp) the smallest id that is reachable over links."""
+    """Adds to rows with id and fp the smallest id reachable over links, and the component's own number, a fingerprint."""
     nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))  # copies meet before anything is expanded
-    spread = map_arrow(nodes.where("rep IS NOT NULL"), _variants, "key long, fp long, id long")
+    spread = map_arrow(nodes.select("fp"), _variants, "key long, fp long")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = map_arrow(spread.repartition(parts, "key").sortWithinPartitions("key"), _links, "a long, b long")
-    roots = connected(edges)
-    named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+    stars = connected(edges)
+    roots = stars.union(stars.select("root", "root").distinct())
+    least = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("least"))
+    linked = roots.join(least, "root")
+    named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("component"))
+    return prints.join(named, "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of docs: its id, fingerprint as 16 hexadecimal digits, and component."""
     found = components(cut(fingerprints(docs, text, key)))
     return found.select(F.col("id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each component with docs' own columns: the one of the smallest id, a row without id only where there is
+    no other; of rows alike in that the one whose text has the smallest hash; of rows alike in both any one."""
+    rows = components(cut(fingerprints(docs, text, key))).groupBy("component", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "copies")).alias("k")
+    kept = cut(rows.groupBy("component").agg(best).select(F.col("k.id").alias("__s_id"), F.col("k.text_hash").alias("__s_hash"), F.col("k.copies").alias("__s_copies")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = lambda some: docs.join(some, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__s_id")) & (_text_hash(text) == F.col("__s_hash")), "left_semi")
+    if kept.where("__s_copies > 1").isEmpty():
+        return chosen(kept)
+    # Rows that occur more than once, id and text alike: these alone are grouped, with partial aggregates.
+    repeated = chosen(kept.where("__s_copies > 1")).groupBy(F.col(f"`{key}`").alias("__s_id"), _text_hash(text).alias("__s_hash")).agg(F.first(F.struct(*own)).alias("__s_row"))
+    return chosen(kept.where("__s_copies = 1")).unionByName(repeated.select("__s_row.*"))

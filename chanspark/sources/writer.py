@@ -132,7 +132,6 @@ class Writer:
     def finish(self) -> None:
         masters = [k for k, c in enumerate(self.columns) if c.sync]
         first = masters[0] if masters else None
-        groups: list[tuple[int, list[int]]] = []  # in order of writing: data link, columns
         following = 0
         if self.layout == "columns":
             order = ([first] if first is not None else [0] if self.columns else []) + [k for k in range(len(self.columns)) if k != (first or 0)]
@@ -159,7 +158,10 @@ class Writer:
             inval = (len(self.columns) + 7) // 8
             cg = self.put(block(b"CG", [0, cn, 0, 0, 0, 0], struct.pack("<QQHH4xII", 0, self.rows, 0, 0, byte, inval)))
             following = self.put(block(b"DG", [0, cg, self.chain(0, byte + inval), 0], struct.pack("<B7x", 0)))
-        del groups
+        self.seal(following)
+
+    def seal(self, following: int) -> None:
+        """History, comments, and at last the identification and the header, which points to the first data group."""
         fh_md = self.put(block(b"MD", (), b"<FHcomment><TX>written</TX><tool_id>chanspark</tool_id></FHcomment>\0"))
         fh = self.put(block(b"FH", [0, fh_md], struct.pack("<QhhB3x", self.start_ns, 0, 0, 0)))
         md = 0

@@ -19,7 +19,7 @@ from .sources.decode import ROW
 from .sources.files import listed, local
 from .sources.model import Meta, Table
 from .sources.read import read_meta
-from .sources.writer import write_file
+from .sources.writer import column_of, write_file
 
 #: Names of Parquet codecs, and those that Spark knows under another name.
 CODECS = {"snappy": "snappy", "gzip": "gzip", "lzo": "lzo", "brotli": "brotli", "lz4": "lz4", "lz4raw": "lz4_raw", "zstd": "zstd", "none": "none", "uncompressed": "none"}
@@ -222,6 +222,9 @@ def save(df: DataFrame, path: str, layout: str = "columns", compression: bool |
     if to is None:
         raise ValueError("measurement files are written to local or mounted folders only")
     ship(df.sparkSession)
+    for f in schema:
+        column_of(f, 1)  # raises for what cannot be written
+    names = schema.names
     os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
 
     def run(batches):
@@ -229,11 +232,11 @@ def save(df: DataFrame, path: str, layout: str = "columns", compression: bool |
         from pyspark import TaskContext
 
         part = f"{to}.{TaskContext.get().taskAttemptId()}.part"
-        n = write_file(part, batches, schema, layout, how, start_ns, comments)
+        n = write_file(part, (b.rename_columns(names) for b in batches), schema, layout, how, start_ns, comments)
         os.replace(part, to)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["rows"])
 
-    df.coalesce(1).mapInArrow(run, "rows long").collect()
+    df.toDF(*[f"c{k}" for k in range(len(names))]).coalesce(1).mapInArrow(run, "rows long").collect()
 
 
 # Edits: tables are immutable, an edit is a new table

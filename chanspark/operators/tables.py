@@ -110,7 +110,7 @@ def merge_asof(left: DataFrame, right: DataFrame, master: str, by: list[str] | N
 
 def concat(tables: list[DataFrame]) -> DataFrame:
     """The rows of all tables; a column that one of them lacks is null there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.select("*") for t in tables])
 
 
 def join_rows(left: DataFrame, right: DataFrame, row: str = "_row") -> DataFrame:

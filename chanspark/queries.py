@@ -171,7 +171,7 @@ def bit_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("by_column", ops.extract_bits(F.col("l_partkey"), 2, 3))
 
 
-@query("virtual_channel", "SELECT r_regionkey, CAST(row_number() OVER () - 1 AS BIGINT) AS row_index, 0.5 * (row_number() OVER () - 1) + 1 AS linear FROM (SELECT * FROM region ORDER BY r_regionkey)")
+@query("virtual_channel", "SELECT r_regionkey, CAST(row_number() OVER () - 1 AS BIGINT) AS row_index, CAST(0.5 * (row_number() OVER () - 1) + 1 AS DOUBLE) AS linear FROM (SELECT * FROM region ORDER BY r_regionkey)")
 def virtual_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark)
     fields = [Field("r_regionkey", 2, 32), Field("row_index", 0, 0, kind=6), Field("linear", 0, 0, kind=3, sync=1, conversion=Conversion(4, 1, [1.0, 0.5]))]

@@ -20,8 +20,8 @@ class Parser3:
         self.f, self.path = f, path
         f.seek(0)
         head = f.read(64)
-        order, _, self.version, page = struct.unpack_from("<4H", head, 24)
-        self.big = order != 0
+        self.big = head[24:26] != b"\0\0"
+        _, self.version, page = self.unpack("3H", head, 26)
         self.codec = f"cp{page}" if page and page != 65001 else "cp1252"
         try:
             "".encode(self.codec)

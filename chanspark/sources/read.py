@@ -16,7 +16,8 @@ def read_meta(path: str) -> Meta:
         head = f.read(64)
         if len(head) < 64 or head[:3] not in (b"MDF", b"UnF"):
             raise ValueError(f"{path} is no measurement file")
-        version = struct.unpack_from("<H", head, 28)[0]
+        big = head[24:26] != b"\0\0" and head[8:9] == b"3"
+        version = struct.unpack_from(">H" if big else "<H", head, 28)[0]
         meta = (Parser3 if version < 400 else Parser)(f, path).parse()
     unique_names(meta)
     return meta

@@ -22,6 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches
 
@@ -190,4 +191,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         columns[n] = pa.array([redacted(t) for t in batch.column(n).to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return map_batches(docs, run, docs.schema)
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # names may hold dots, which Spark's map functions do not take
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema, strict=True)])
+    return map_batches(docs.toDF(*plain), run, schema).toDF(*docs.columns)

@@ -6,7 +6,7 @@ import duckdb
 import xxhash
 
 #: Columns beside those of documents whose names operators might use themselves.
-CLASHING = ["id", "t", "h", "n", "k", "w", "fp", "hits", "low", "copy", "copies", "kept", "n_words", "text_hash", "item_ids", "component_id", "score", "offset", "length", "node", "root"]
+CLASHING = ["id", "t", "h", "n", "k", "w", "fp", "hits", "low", "copy", "copies", "kept", "n_words", "text_hash", "item_ids", "component_id", "score", "offset", "length", "node", "root", "a.b", "doc id"]
 LONG = "lorem ipsum dolor sit amet consectetur " * 40_000
 PROSE = "The river runs past the old mill, and every autumn the miller counts the boats that come down from the northern hills with grain."
 ROWS = [
@@ -17,7 +17,7 @@ ROWS = [
 
 def docs(spark, rows=ROWS, clashing=True):
     df = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    return df.selectExpr("*", *[f"'x' AS {c}" for c in CLASHING]) if clashing else df
+    return df.selectExpr("*", *[f"'x' AS `{c}`" for c in CLASHING]) if clashing else df
 
 
 def same_as_sql(df, sql, **tables):

@@ -162,6 +162,7 @@ def components(prints: DataFrame) -> DataFrame:
     least = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root")
     named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("component"))
+    named = cut(named)  # so both sides of the last join are plain exchanges, which adaptive execution splits where copies make a key hot
     return prints.join(named, "fp", "left")
 
 

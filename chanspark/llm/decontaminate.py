@@ -74,15 +74,15 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
     """Per row of docs: id, number of words, and its hits as an array of (first word, number of words, item ids)."""
     sizes = windows.groupBy("k").agg(F.count_distinct("hash").alias("n")).collect()  # one row per shingle size, five at most
     tested = sum(r["n"] for r in sizes) <= MAX_TOKENS
+    base = docs.select(F.col(f"`{key}`").alias("id"), text_of(text).alias("t")).withColumn("text_hash", F.xxhash64("t"))
+    base = base.withColumn("w", _words(F.col("t"))).withColumn("low", _words(F.lower("t"))).drop("t")
     found = []
     low = F.col("low")
     for k in sorted(r["k"] for r in sizes):
         at = F.when(F.size(low) >= k, F.transform(F.sequence(F.lit(0), F.size(low) - k), _token(low, k)))
-        if tested:
-            at = F.filter(at, _listed([r["hash"] for r in windows.where(F.col("k") == k).select("hash").distinct().collect()]))
-        found.append(F.coalesce(at, F.array().cast("array<struct<k:int,at:int,h:bigint>>")))
-    base = docs.select(F.col(f"`{key}`").alias("id"), text_of(text).alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    base = base.withColumn("w", _words(F.col("t"))).withColumn("low", _words(F.lower("t"))).drop("t")
+        base = base.withColumn(f"tokens_{k}", at)
+        listed = _listed(f"tokens_{k}", [r["hash"] for r in windows.where(F.col("k") == k).select("hash").distinct().collect()]) if tested else F.col(f"tokens_{k}")
+        found.append(F.coalesce(listed, F.array().cast("array<struct<k:int,at:int,h:bigint>>")))
     none = F.array(F.lit(None).cast("struct<k:int,at:int,h:bigint>"))
     spread = base.withColumn("c", F.concat(none, *found) if found else none).drop("low")
     # A candidate takes the words around it along, not the whole text: no window reaches further than this.
@@ -113,9 +113,10 @@ def _token(words: Column, size: int):
     return lambda i: F.struct(F.lit(size).alias("k"), i.alias("at"), _hash(words, i, size).alias("h"))
 
 
-def _listed(hashes: list[int]):
-    """Whether a token's hash is one of these; the optimizer makes one set of them."""
-    return lambda x: x["h"].isin(*hashes)
+def _listed(tokens: str, hashes: list[int]) -> Column:
+    """The tokens whose hash is one of these. As text, since handing thousands of literals over one by one takes seconds;
+    the optimizer makes one set of them."""
+    return F.expr(f"filter({tokens}, x -> x.h IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'long(-9223372036854775807L - 1L)' for h in hashes)}))")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -36,17 +36,24 @@ _MASKS = [np.uint64(sum(1 << b for b in range(64) if b not in block)) for block
 _FLIPS = [np.array([0, *(1 << b for b in range(64) if b not in block)], dtype=np.uint64) for block in _BLOCKS]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash: bit i is set if it is set in over half the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every run of that many words, in order (of all words if there are fewer)."""
     words = (text or "").encode().lower().split()  # on bytes: A-Z only, and the six ASCII white-space characters
     if not words:
-        return 0
+        return np.array([], dtype="<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash: bit i is set if it is set in over half the shingles' XXH64."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for part in range(0, len(hashes), 65536):  # the bits of a very long text are counted in parts
         counts += np.unpackbits(hashes[part : part + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -157,13 +164,17 @@ def components(prints: DataFrame) -> DataFrame:
     spread = map_arrow(nodes.select("fp"), _variants, "key long, fp long")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = map_arrow(spread.repartition(parts, "key").sortWithinPartitions("key"), _links, "a long, b long")
-    stars = connected(edges)
+    return named(prints, nodes, connected(edges))
+
+
+def named(prints: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """prints with the smallest id of each row's component and the component's number; nodes: fp and its smallest id."""
     roots = stars.union(stars.select("root", "root").distinct())
     least = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("least"))
     linked = roots.join(least, "root")
-    named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("component"))
-    named = cut(named)  # so both sides of the last join are plain exchanges, which adaptive execution splits where copies make a key hot
-    return prints.join(named, "fp", "left")
+    names = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("component"))
+    names = cut(names)  # so both sides of the last join are plain exchanges, which adaptive execution splits where copies make a key hot
+    return prints.join(names, "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -175,7 +186,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component with docs' own columns: the one of the smallest id, a row without id only where there is
     no other; of rows alike in that the one whose text has the smallest hash; of rows alike in both any one."""
-    rows = components(cut(fingerprints(docs, text, key))).groupBy("component", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    return one_of_each(docs, components(cut(fingerprints(docs, text, key))), text, key)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """keep_one for components that are found already (id, text_hash, component)."""
+    rows = found.groupBy("component", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "copies")).alias("k")
     kept = cut(rows.groupBy("component").agg(best).select(F.col("k.id").alias("__s_id"), F.col("k.text_hash").alias("__s_hash"), F.col("k.copies").alias("__s_copies")))
     own = [F.col(f"`{c}`") for c in docs.columns]

@@ -7,6 +7,8 @@ itself. Every other token of MIN_TOKEN or more characters that mixes digits and
      give a p-value under "drawn uniformly"; a token fails the battery if three times the smallest is below MIN_P;
   3. the likelihood ratio of "uniform" against characters of natural text is an e-value, which grows with the length;
      a document's tokens are held to a false-discovery rate of FDR by the e-BH rule over all its tested tokens.
+A token that fits no alphabet or does not pass (a path with a key in it, say) is split at '/', '+', '-' and '_'. Runs of parts
+that look random together, or else single parts, are tested like tokens of their own, and count as such in the e-BH rule.
 What passes both is a span of the kind "random", unless it overlaps a pattern's span. Spans count code points, the end
 exclusive. All is decided inside a document; there is no shuffle.
 
@@ -30,6 +32,8 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN = 20
 MIN_P = 0.003
 FDR = 0.01
+#: Logarithm of the least e-value with which any token can pass.
+PASSES = -math.log(FDR)
 
 _ANY = lambda word: "".join(f"[{c.upper()}{c}]" for c in word)  # noqa: E731  either case, for ASCII letters only
 _ASSIGN = re.compile(
@@ -39,6 +43,7 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 _HEX = re.compile("[0-9a-f]{32,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN)
+_PART = re.compile("[A-Za-z0-9]+")
 _ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
 #: Shares of letters in natural text (of all letters), and of the classes of characters in its long tokens.
 _LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.2, 0.2, 0.1, 0.1), strict=True))
@@ -103,20 +108,67 @@ def log_e(token: str, size: int) -> float:
     return sum(-math.log(size) - math.log(_NATURAL[c]) for c in token)
 
 
+def _tested(token: str) -> float | None:
+    """Logarithm of a token's e-value, -inf if it fits no alphabet or fails the battery; None if it is not to be tested."""
+    symbols = set(token)
+    if len(token) < MIN_TOKEN or not (any("0" <= c <= "9" for c in symbols) and any(c.isalpha() for c in symbols)):
+        return None
+    alphabet = next((a for a in _ALPHABETS if symbols <= set(a)), None)
+    if alphabet is None or 3 * min(battery([alphabet.index(c) for c in token], len(alphabet))) < MIN_P:
+        return -math.inf
+    return log_e(token, len(alphabet))
+
+
+def _runs(token: str, single: list[tuple[int, int]], separators: str) -> list[tuple[int, int]]:
+    """First and last of the parts that, joined by these separators only, look random together: runs whose likelihood ratio
+    no neighbours raise (Ruzzo and Tompa's maximal segments)."""
+    done: list[tuple[int, int]] = []
+    runs: list[tuple[int, int, float, float, int]] = []  # also the ratios up to start and end, and the nearest run before with a smaller one up to its start
+    total, at = 0.0, 0
+    for k, (x, y) in enumerate(single):
+        if not set(token[at:x]) <= set(separators):
+            done += [r[:2] for r in runs]
+            runs, total = [], 0.0
+        start = total + (log_e(token[at:x], 64) if runs else 0.0)
+        first, total, at = k, start + log_e(token[x:y], 64), y
+        while total > start:
+            j = len(runs) - 1
+            while j >= 0 and runs[j][2] >= start:
+                j = runs[j][4]
+            if j < 0 or runs[j][3] >= total:
+                runs.append((first, k, start, total, j))
+                break
+            first, start = runs[j][0], runs[j][2]
+            del runs[j:]
+    return done + [r[:2] for r in runs]
+
+
+def _parts(token: str) -> list[tuple[float, int, int]]:
+    """What is tested of a token that does not pass as a whole: e-value, start and end."""
+    single = [m.span() for m in _PART.finditer(token)]
+    found, covered = [], set()
+    for separators in ("+/", "-_"):  # no alphabet has both
+        for first, last in _runs(token, single, separators):
+            x, y = single[first][0], single[last][1]
+            if last > first and y - x < len(token) and (value := _tested(token[x:y])) is not None:
+                found.append((value, x, y))
+                if value >= PASSES:
+                    covered |= set(range(first, last + 1))
+    found += [(value, x, y) for k, (x, y) in enumerate(single) if k not in covered and y - x < len(token) and (value := _tested(token[x:y])) is not None]
+    return found
+
+
 def random_tokens(text: str) -> list[tuple[int, int]]:
     """Spans of the tokens that the battery and the false-discovery rule let pass."""
     tested = []
     for m in _TOKEN.finditer(text):
         token = m[0].rstrip("=")
-        symbols = set(token)
-        if not (any("0" <= c <= "9" for c in symbols) and any(c.isalpha() for c in symbols)):
-            continue
-        alphabet = next((a for a in _ALPHABETS if symbols <= set(a)), None)
-        if alphabet is None:
-            tested.append((-math.inf, m.span()))
-            continue
-        passed = 3 * min(battery([alphabet.index(c) for c in token], len(alphabet))) >= MIN_P
-        tested.append((log_e(token, len(alphabet)) if passed else -math.inf, m.span()))
+        value = _tested(token)
+        if value is not None:
+            tested.append((value, m.span()))
+        if value is None or value < PASSES:
+            # Padding belongs to the part that it follows.
+            tested += [(v, (m.start() + a, m.end() if b == len(token) else m.start() + b)) for v, a, b in _parts(token)]
     tested.sort(key=lambda x: (-x[0], x[1]))
     most = 0
     for k, (value, _) in enumerate(tested, 1):

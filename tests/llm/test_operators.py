@@ -217,6 +217,18 @@ def test_random_tokens(spark):
     assert find_secrets(docs(spark)).count() == len(ROWS) and find_secrets(docs(spark, [])).count() == 0
 
 
+def test_random_tokens_in_paths(spark):
+    rng = random.Random(8)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    for path in ("https://api.example.com/v1/my-app/", "/srv/app_keys/", "/srv/data/production/service/backups/of-the_year/"):
+        text = f"{PROSE} It stands at {path}{key} now."
+        at = text.index(key)
+        assert secrets.scan(text) == [(at, 3, at + len(key))]
+        assert secrets.redacted(text) == text.replace(key, "[random]")
+    plain = "See https://api.example.com/v1/my-app/section-on-configuration_2/of-the-manual/chapter-17 and index-2024/part_3."
+    assert secrets.scan(plain) == []
+
+
 def near_copies():
     rng = random.Random(4)
     base = " ".join(f"word{rng.randrange(3000)}" for _ in range(400)).split()

@@ -3,7 +3,8 @@
 A window is ten consecutive words of an item (all of them if there are fewer). Its tokens are its shingles of five words
 (fewer in a shorter window), and a document holds the window only if it holds all of them; so under any order of tokens
 the first one, the prefix, is necessary. Tokens are ordered by rarity over the benchmark's windows, so each window is
-looked up by its rarest shingle. A document's shingles meet those prefix tokens by a 64-bit hash of lower-cased words;
+looked up by its rarest shingle. A document's shingles meet those prefix tokens by a 64-bit hash of words whose A-Z (only)
+are in lower case, on both sides before the split, as full lower case depends on a letter's neighbours (capital sigma);
 positional and length bounds (the window has to lie inside the document at the offset that the shingle has in it) and the
 exact comparison of its words decide.
 
@@ -38,16 +39,12 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, _BETWEEN), "")
-
-
-def _exact(words: Column) -> Column:
     """Words with A-Z (only) in lower case."""
-    return F.transform(words, lambda w: F.translate(w, _UPPER, _LOWER))
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), _BETWEEN), "")
 
 
 def _hash(words: Column, at: Column, size: int) -> Column:
-    """Hash of the lower-cased words at, at + 1, ...; full lower case is coarser than A-Z alone, so it misses nothing."""
+    """Hash of the words at, at + 1, ..."""
     return F.xxhash64(*[F.get(words, at + k) for k in range(size)])
 
 
@@ -55,13 +52,12 @@ def item_windows(items: DataFrame, text: str = "text", key: str = "item_id", win
     """One row per distinct window: its words, item ids, size of the chosen shingle, that shingle's offset and hash."""
     words = items.select(F.col(f"`{key}`").cast("string").alias("item"), _words(text_of(text)).alias("w")).where(F.size("w") > 0)
     wide = words.withColumn("first", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))))
-    wide = wide.select("item", F.slice("w", F.col("first") + 1, window).alias("w"))
-    wide = wide.select("item", _exact(F.col("w")).alias("words"), F.transform("w", F.lower).alias("low"))
-    wide = wide.groupBy("words", "low").agg(F.sort_array(F.collect_set("item")).alias("items"))  # distinct ids of one benchmark text
+    wide = wide.select("item", F.slice("w", F.col("first") + 1, window).alias("words"))
+    wide = wide.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))  # distinct ids of one benchmark text
     tokens = []
     for k in range(1, shingle + 1):
         fits = F.size("words") >= k if k == shingle else F.size("words") == k
-        tokens.append(wide.where(fits).select("words", "items", F.lit(k).alias("k"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - k), _hasher(F.col("low"), k))).alias("offset", "hash")))
+        tokens.append(wide.where(fits).select("words", "items", F.lit(k).alias("k"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - k), _hasher(F.col("words"), k))).alias("offset", "hash")))
     every = tokens[0]
     for t in tokens[1:]:
         every = every.union(t)
@@ -75,21 +71,21 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
     sizes = windows.groupBy("k").agg(F.count_distinct("hash").alias("n")).collect()  # one row per shingle size, five at most
     tested = sum(r["n"] for r in sizes) <= MAX_TOKENS
     base = docs.select(F.col(f"`{key}`").alias("id"), text_of(text).alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    base = base.withColumn("w", _words(F.col("t"))).withColumn("low", _words(F.lower("t"))).drop("t")
+    base = base.withColumn("w", _words(F.col("t"))).drop("t")
     found = []
-    low = F.col("low")
+    w = F.col("w")
     for k in sorted(r["k"] for r in sizes):
-        at = F.when(F.size(low) >= k, F.transform(F.sequence(F.lit(0), F.size(low) - k), _token(low, k)))
+        at = F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), _token(w, k)))
         base = base.withColumn(f"tokens_{k}", at)
         listed = _listed(f"tokens_{k}", [r["hash"] for r in windows.where(F.col("k") == k).select("hash").distinct().collect()]) if tested else F.col(f"tokens_{k}")
         found.append(F.coalesce(listed, F.array().cast("array<struct<k:int,at:int,h:bigint>>")))
     none = F.array(F.lit(None).cast("struct<k:int,at:int,h:bigint>"))
-    spread = base.withColumn("c", F.concat(none, *found) if found else none).drop("low")
+    spread = base.withColumn("c", F.concat(none, *found) if found else none)
     # A candidate takes the words around it along, not the whole text: no window reaches further than this.
     reach = window - 1
     around = F.transform("c", lambda x: F.struct(
         x["k"].alias("k"), x["at"].alias("at"), x["h"].alias("h"), F.greatest(x["at"] - reach, F.lit(0)).alias("from"),
-        F.when(x.isNotNull(), F.transform(F.sequence(F.greatest(x["at"] - reach, F.lit(0)), F.least(x["at"] + reach, F.size("w") - 1)), lambda j: F.translate(F.get(F.col("w"), j), _UPPER, _LOWER))).alias("near"),
+        F.when(x.isNotNull(), F.transform(F.sequence(F.greatest(x["at"] - reach, F.lit(0)), F.least(x["at"] + reach, F.size("w") - 1)), lambda j: F.get(F.col("w"), j))).alias("near"),
     ))
     rows = spread.select("id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode(around).alias("c"))
     rows = rows.select("id", "text_hash", "n_words", "c.*")

@@ -121,6 +121,19 @@ def test_decontamination(spark):
     assert decontaminate(table, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_capital_sigma(spark):
+    """Full lower case of a sigma depends on its neighbours, so a text and its words would give other letters."""
+    items = [(1, "Δ.Σ. one two three"), (2, "ΟΔΟΣ:ΑΒ is the way")]
+    rows = [(1, "It reads Δ.Σ. one two three here", "el", "s"), (2, "ΟΔΟΣ:ΑΒ is the way", "el", "s"), (3, "οδοσ αβ is the way", "el", "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate(docs(spark, rows), bench).collect()}
+    for d, t, *_ in rows:
+        n, hit, ids = windows_hit(t, items)
+        assert (found[d].n_words, found[d].n_hit, found[d].n_items) == (n, hit, len(ids))
+    assert [found[d].contaminated for d in (1, 2, 3)] == [True, True, False]
+    assert [r.doc_id for r in keep_clean(docs(spark, rows), bench).collect()] == [3]
+
+
 ALPHABET = ["a", "b", "The", " ", "  ", "\n", "\t", ".", ",", "▁", "é", "ß", "\x03", "\x05", "'s", "1", "23", "<|endoftext|>", "<s>", "</s>", " ", "　", "🙂", "﻿", "中文", "\x00", "\r\n", "…", "ﬁ"]
 
 

@@ -12,16 +12,18 @@ f AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN c USING (doc_id)),
-g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (n_symbols * 1000) // greatest(n_words, 1) AS v1,
-        (n_dup_lines * 1000) // greatest(n_lines, 1) AS v2, (word_chars * 100) // greatest(n_words, 1) AS v3 FROM f),
-v AS (SELECT lang, source, unnest([1, 2, 3]) AS rule, unnest([v1, v2, v3]) AS x FROM g WHERE NOT base_failed),
+g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (greatest(n_symbols - 1, 0) * 1000) // greatest(n_words, 1) AS v1,
+        (greatest(n_dup_lines - 1, 0) * 1000) // greatest(n_lines, 1) AS v2, (word_chars * 100) // greatest(n_words, 1) AS v3 FROM f),
+v AS (SELECT lang, source, unnest([1, 2, 3, 4, 5]) AS rule, unnest([v1, v2, v3, n_words, n_lines]) AS x FROM g WHERE NOT base_failed),
 h AS (SELECT lang, source, rule, CASE WHEN x < 128 THEN x ELSE (x >> (length(bin(x)) - 7)) << (length(bin(x)) - 7) END AS b, count(*) AS n FROM v GROUP BY ALL),
 k AS (SELECT lang, source, rule, b, n FROM h UNION ALL SELECT lang, NULL, rule, b, sum(n) FROM h GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY b) AS up, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM k),
 q AS (SELECT lang, source, rule, min(b) FILTER (4 * up >= total) AS lo, min(b) FILTER (4 * up >= 3 * total) AS hi, max(total) AS size FROM u GROUP BY lang, source, rule),
-e AS (SELECT lang, source, rule, size, hi + (CASE rule WHEN 3 THEN 12 ELSE 4 END) * (hi - lo) AS fence FROM q),
-m AS (SELECT a.lang, a.source, a.rule, greatest(CASE WHEN a.size >= 50 THEN least(a.fence, 2 * b.fence) ELSE b.fence END, CASE a.rule WHEN 1 THEN 100 WHEN 2 THEN 500 ELSE 1200 END) AS most
-      FROM e a JOIN e b ON a.lang = b.lang AND a.rule = b.rule AND b.source IS NULL WHERE a.source IS NOT NULL),
+e AS (SELECT r.*, r.hi - r.lo AS iqr, (CASE r.rule WHEN 3 THEN r.hi ELSE 1000 END) // greatest(s.lo, 1) AS finest, CASE r.rule WHEN 1 THEN 10 WHEN 2 THEN 2 ELSE 12 END AS width
+      FROM q r JOIN q s ON r.lang = s.lang AND r.source IS NOT DISTINCT FROM s.source AND s.rule = CASE r.rule WHEN 2 THEN 5 ELSE 4 END WHERE r.rule <= 3),
+l AS (SELECT lang, rule, greatest(iqr, finest) AS spread, hi + width * greatest(iqr, finest) AS fence FROM e WHERE source IS NULL),
+m AS (SELECT e.lang, e.source, e.rule, CASE WHEN size >= 50 THEN least(hi + width * greatest((iqr + spread) // 2, finest), 2 * fence) ELSE fence END AS most
+      FROM e JOIN l ON e.lang = l.lang AND e.rule = l.rule WHERE e.source IS NOT NULL),
 x AS (SELECT lang, source, max(most) FILTER (rule = 1) AS m1, max(most) FILTER (rule = 2) AS m2, max(most) FILTER (rule = 3) AS m3 FROM m GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(v1 <= m1 AND v2 <= m2 AND v3 <= m3, false) AS kept,

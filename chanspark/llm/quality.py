@@ -2,10 +2,15 @@
 
 Every rule is a whole number (a share per mille or a length in hundredths). A sketch is a histogram of such numbers in
 buckets of a fixed relative width (1/64 of the value, exact below 128): adding up bucket counts merges sketches, in any
-order, with the same result. From a group's sketch come its quartiles, and from these the limits (Tukey's fence: upper
-quartile plus FENCE interquartile ranges). Groups of fewer than MIN_GROUP texts take their language's limits; a group's
-limit is never above twice its language's, so that a source which is junk throughout cannot vouch for itself.
-Only DataFrame functions are used.
+order, with the same result. From a group's sketches come its quartiles, and from these the limits: the upper quartile
+plus RULES[rule] times the group's spread. No limit is fixed; all follow the data.
+
+The spread is the interquartile range, averaged with the language's. Quartiles may coincide (most texts have no symbol at
+all; a source may be copies of one text), so a spread is never taken to be finer than the rule can tell: one more
+occurrence (of a symbol, a repeated line, a word of double length) in a text as short as the group's lower quartile of
+words or lines, whose sketches are kept as well. The first occurrence in a text is free, as it says little in a short one.
+Groups of fewer than MIN_GROUP texts take their language's limits; a group's limit is never above twice its language's, so
+that a source which is junk throughout cannot vouch for itself. Only DataFrame functions are used.
 
 Nulls: a null text has no words and fails the base rules; a null language or source counts as the empty string. Repeated
 rows are judged one by one, alike. An empty table gives an empty result. Other columns of the input are kept or dropped
@@ -19,15 +24,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .common import SPACE, cut, small, text_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Groups with fewer texts than this use their language's sketch.
 MIN_GROUP = 50
-#: Rule -> (width of the fence in interquartile ranges, least limit). The least limit keeps a group whose quartiles
-#: coincide (all texts without a single symbol) from rejecting every text that has one.
-RULES = {"symbols": (4, 100), "dup_lines": (4, 500), "word_length": (12, 1200)}
+#: Rule -> width of the fence in spreads.
+RULES = {"symbols": 10, "dup_lines": 2, "word_length": 12}
+#: Rule -> what its number is a share of, and by how much one more occurrence moves the number of a text with one of these.
+_UNITS = {"symbols": ("n_words", "1000"), "dup_lines": ("n_lines", "1000"), "word_length": ("n_words", "__q_high_word_length")}
+#: What sketches are kept of.
+_SKETCHED = (*RULES, "n_words", "n_lines")
 #: A table of limits is broadcast up to this many rows (about 100 bytes each); beyond, the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -71,8 +80,8 @@ def with_features(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
         .drop("__q_at")
         .withColumns({
             "__q_base_failed": (F.col("__q_n_words") < MIN_WORDS) | (100 * F.col("__q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__q_n_words")),
-            "__q_symbols": ratio("__q_n_symbols", "__q_n_words", 1000),
-            "__q_dup_lines": ratio("__q_n_dup_lines", "__q_n_lines", 1000),
+            "__q_symbols": ratio("greatest(__q_n_symbols - 1, 0)", "__q_n_words", 1000),
+            "__q_dup_lines": ratio("greatest(__q_n_dup_lines - 1, 0)", "__q_n_lines", 1000),
             "__q_word_length": ratio("__q_word_chars", "__q_n_words", 100),
             # A filter that uses this column stays above this projection; else the optimizer would copy whole
             # expressions into it and repeat them for every element of the arrays.
@@ -87,40 +96,50 @@ def bucket(value: str) -> Column:
 
 
 def sketches(features: DataFrame) -> DataFrame:
-    """Bucket counts by language, source and rule, of the texts that pass the base rules."""
-    pairs = ", ".join(f"'{rule}', __q_{rule}" for rule in RULES)
+    """Bucket counts by language, source and what they are of, from the texts that pass the base rules."""
+    pairs = ", ".join(f"'{name}', __q_{name}" for name in _SKETCHED)
     return (
         features.where((F.col("__q_barrier") >= 0) & ~F.col("__q_base_failed"))
-        .select("__q_lang", "__q_source", F.expr(f"stack({len(RULES)}, {pairs}) AS (__q_rule, __q_value)"))
-        .groupBy("__q_lang", "__q_source", "__q_rule", bucket("__q_value").alias("__q_bucket"))
+        .select("__q_lang", "__q_source", F.expr(f"stack({len(_SKETCHED)}, {pairs}) AS (__q_name, __q_value)"))
+        .groupBy("__q_lang", "__q_source", "__q_name", bucket("__q_value").alias("__q_bucket"))
         .agg(F.count(F.lit(1)).alias("__q_n"))
     )
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """For each group and rule the fence from its merged sketch, and the number of texts in it."""
-    group = Window.partitionBy(*by, "__q_rule")
+def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group: the number of its texts, and lower and upper quartile from each of its merged sketches."""
+    group = Window.partitionBy(*by, "__q_name")
     up_to = group.orderBy("__q_bucket").rowsBetween(Window.unboundedPreceding, 0)
     quartile = lambda k: F.min(F.when(4 * F.col("__q_up_to") >= k * F.col("__q_total"), F.col("__q_bucket")))
-    width = reduce(lambda rest, rule: F.when(F.col("__q_rule") == rule, RULES[rule][0]).otherwise(rest), RULES, F.lit(0))
+    one = lambda name, column: F.max(F.when(F.col("__q_name") == name, F.col(column))).alias(f"{column}_{name}")
     return (
-        sketch.groupBy(*by, "__q_rule", "__q_bucket")
+        sketch.groupBy(*by, "__q_name", "__q_bucket")
         .agg(F.sum("__q_n").alias("__q_n"))
         .withColumns({"__q_up_to": F.sum("__q_n").over(up_to), "__q_total": F.sum("__q_n").over(group)})
-        .groupBy(*by, "__q_rule")
-        .agg(quartile(1).alias("__q_low"), quartile(3).alias("__q_high"), F.max("__q_total").alias("__q_size"))
-        .select(*by, "__q_rule", "__q_size", (F.col("__q_high") + width * (F.col("__q_high") - F.col("__q_low"))).alias("__q_fence"))
+        .groupBy(*by, "__q_name")
+        .agg(quartile(1).alias("__q_low"), quartile(3).alias("__q_high"), F.max("__q_total").alias("__q_total"))
+        .groupBy(*by)
+        .agg(F.max("__q_total").alias("__q_size"), *[one(name, c) for name in _SKETCHED for c in ("__q_low", "__q_high")])
     )
 
 
 def limits(features: DataFrame) -> DataFrame:
     """One row per language and source with a column __q_max_<rule> for each rule."""
     sketch = cut(sketches(features))
-    by_group, by_lang = fences(sketch, ["__q_lang", "__q_source"]), fences(sketch, ["__q_lang"])
-    both = by_group.join(by_lang.select("__q_lang", "__q_rule", F.col("__q_fence").alias("__q_lang_fence")), ["__q_lang", "__q_rule"])
-    own = F.when(F.col("__q_size") >= MIN_GROUP, F.least("__q_fence", 2 * F.col("__q_lang_fence"))).otherwise(F.col("__q_lang_fence"))
-    at = lambda rule: F.max(F.when(F.col("__q_rule") == rule, F.greatest(own, F.lit(RULES[rule][1])))).alias(f"__q_max_{rule}")
-    return cut(both.groupBy("__q_lang", "__q_source").agg(*map(at, RULES)))
+    finest = lambda rule: F.expr(f"{_UNITS[rule][1]} div greatest(__q_low_{_UNITS[rule][0]}, 1)")
+    range_ = lambda rule: F.col(f"__q_high_{rule}") - F.col(f"__q_low_{rule}")
+    by_lang = quartiles(sketch, ["__q_lang"])
+    spread = {rule: F.greatest(range_(rule), finest(rule)) for rule in RULES}
+    by_lang = by_lang.select("__q_lang", *[s.alias(f"__q_spread_{r}") for r, s in spread.items()], *[(F.col(f"__q_high_{r}") + RULES[r] * s).alias(f"__q_fence_{r}") for r, s in spread.items()])
+    both = quartiles(sketch, ["__q_lang", "__q_source"]).join(by_lang, "__q_lang")
+
+    def limit(rule: str) -> Column:
+        mean = F.floor((range_(rule) + F.col(f"__q_spread_{rule}")) / 2)
+        own = F.col(f"__q_high_{rule}") + RULES[rule] * F.greatest(mean, finest(rule))
+        lang = F.col(f"__q_fence_{rule}")
+        return F.when(F.col("__q_size") >= MIN_GROUP, F.least(own, 2 * lang)).otherwise(lang).cast("long")
+
+    return cut(both.select("__q_lang", "__q_source", *[limit(r).alias(f"__q_max_{r}") for r in RULES]))
 
 
 def with_verdict(features: DataFrame, table: DataFrame) -> DataFrame:
@@ -134,12 +153,21 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     """The verdict on each row of docs, with the counts it rests on and the limits that were applied."""
     own = with_features(docs.select(key, text, lang, source), text, lang, source)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    features = cut(own.select(key, "__q_lang", "__q_source", "__q_base_failed", "__q_barrier", *[f"__q_{x}" for x in [*names, *RULES]]))
+    features = cut(own.select(key, "__q_lang", "__q_source", "__q_base_failed", "__q_barrier", *[f"__q_{x}" for x in [*names, "n_lines", *RULES]]))
     judged = with_verdict(features, limits(features))
     return judged.select(key, *[F.col(f"__q_{x}").alias(x) for x in [*names, "base_failed", "kept"]], *[F.col(f"__q_max_{x}").alias(f"max_{x}") for x in RULES])
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with docs' own columns. Texts are read twice rather than shuffled."""
+    """The rows of docs that are kept, with docs' own columns.
+
+    The features are computed once and written beside the rows as Parquet below the shared folder, of which the limits
+    read the few narrow columns only; so neither is work done twice nor are texts shuffled.
+    """
+    narrow = ["__q_lang", "__q_source", "__q_base_failed", "__q_barrier", *[f"__q_{x}" for x in _SKETCHED]]
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    folder = shared_dir(docs.sparkSession)
     features = with_features(docs, text, lang, source)
-    return with_verdict(features, limits(features)).where((F.col("__q_barrier") >= 0) & F.col("__q_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    features.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, plain, strict=True)], *narrow).write.parquet(folder)
+    features = docs.sparkSession.read.parquet(folder)
+    return with_verdict(features, limits(features)).where("__q_kept").select(*[F.col(p).alias(c) for c, p in zip(docs.columns, plain, strict=True)])

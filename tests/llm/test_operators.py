@@ -319,3 +319,23 @@ def test_warc_digests_by_sql(spark):
     n = duckdb.sql(f"select count(*) from '{SF}/pages.parquet'").fetchall()[0][0]
     assert r.count() == 2 * n and r.select("record_id").distinct().count() == 2 * n and r.where("content_length <> octet_length(block)").count() == 0
     assert r.groupBy("refers_to").count().where("count <> 2").count() == 0
+
+
+def test_quality_limits_follow_the_data(spark):
+    """Limits differ between languages and sources, none is a constant, and a source of copies does not reject the rest."""
+    found = quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source"))
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "source")
+    limits = found.join(table, "doc_id").select("lang", "source", "max_symbols", "max_dup_lines", "max_word_length").distinct().collect()
+    assert len(limits) == 80
+    for rule in ("max_symbols", "max_dup_lines", "max_word_length"):
+        assert len({r[rule] for r in limits}) > 2
+        assert any(len({r[rule] for r in limits if r.lang == lang}) > 1 for lang in ("en", "de", "fr", "es"))
+    assert found.where("NOT base_failed AND NOT kept").count() > 0
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(rng.randint(40, 90)))
+    same = prose()
+    rows = [(k, same if k % 3 else prose(), "en", "copies") for k in range(300)] + [(1000 + k, prose(), "en", "web") for k in range(200)]
+    long = lambda: " ".join("".join(rng.choices("abcdefghij", k=30)) for _ in range(60))
+    rows += [(2000 + k, prose().replace(" ", " ### "), "en", "web") for k in range(20)] + [(3000 + k, long(), "en", "copies") for k in range(5)]
+    kept = {r.doc_id for r in quality(docs(spark, rows)).where("kept").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 2000} and quality(docs(spark, rows)).where("base_failed").count() == 0

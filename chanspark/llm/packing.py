@@ -2,12 +2,16 @@
 
 Each task packs its own documents in the order in which they come. Open windows are counted by fill level; a document
 goes to the level (or to a new window) that leaves the smallest sum of squared counts of partially filled windows (Csirik
-et al.). A document longer than a window first fills whole windows. Since cutting is free, no padding has to remain: when
-more than MAX_OPEN windows are open, and at the end of a task, their documents are laid end to end and cut into full
-windows; what is left at the end of a task is cut into sequences whose lengths are powers of two, which need no padding.
+et al.). A document longer than a window first fills whole windows. Every document is placed by that rule, however many
+windows are open. Since cutting is free, no padding has to remain: at the end of a task the documents of the windows
+that are still open are laid end to end and cut into full windows, and what is left of them into sequences whose lengths
+are powers of two, which need no padding.
 
-A task holds the ids of its open windows only, at most MAX_OPEN * window ids. Sequence ids are unique across tasks: the
-partition's number and a counter within it. Run over the same partitions, the result is the same.
+A task holds the ids of its open windows. On mixed lengths these are a few hundred windows (some MB); lengths that never
+fit together (all of 1500 ids, say) would leave all of them open. So when they take more than MAX_BYTES, two windows of
+the level that has the most are laid end to end, with one cut at most, until they take less: of all ways to be rid of a
+window, the one that lowers the sum of squares most. No document is placed otherwise for that. Sequence ids are unique
+across tasks: the partition's number and a counter within it. Run over the same partitions, the result is the same.
 
 A null or empty text is the closing id alone. Repeated rows are packed one by one. An empty table gives an empty result.
 """
@@ -27,18 +31,19 @@ from .tokenizer import ByteEncoder, blocks, crc32, default_path, load
 
 WINDOW = 2048
 CLOSING_ID = 1
-MAX_OPEN = 256
+#: Ids that a task's open windows may hold, in bytes. Far above 2048 windows, so some level has two whenever it is passed.
+MAX_BYTES = 64 << 20
 
 
 class Packer:
     """Packs the documents of one partition; finished pieces are (id, start, length, crc, tokens, sequence, offset, ids)."""
 
-    def __init__(self, partition: int, window: int = WINDOW, max_open: int = MAX_OPEN):
+    def __init__(self, partition: int, window: int = WINDOW, max_bytes: int = MAX_BYTES):
         self.next = partition << 40
-        self.window, self.max_open = window, max_open
+        self.window, self.max_ids = window, max(max_bytes // 4, window * window)
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.levels: list[list[list]] = [[] for _ in range(window + 1)]
-        self.open = 0
+        self.held = 0  # ids in open windows
         self.done: list[tuple] = []
 
     def add(self, key: int | None, ids: bytes) -> None:
@@ -70,24 +75,28 @@ class Packer:
             self.close(pieces)
             return
         self.put(level + size, pieces)
-        if self.open > self.max_open:
-            rest = self.drain()
-            if rest:
-                self.put(sum(len(p[3]) for p in rest) // 4, rest)
+        while self.held > self.max_ids:
+            self.join()
 
     def take(self, level: int) -> list:
         self.counts[level] -= 1
-        self.open -= 1
+        self.held -= level
         return self.levels[level].pop()
 
     def put(self, level: int, pieces: list) -> None:
         self.counts[level] += 1
-        self.open += 1
+        self.held += level
         self.levels[level].append(pieces)
 
-    def drain(self) -> list:
-        """Empties all open windows into full ones; the pieces of the last, not full, are returned."""
-        pieces = [p for level in range(self.window, 0, -1) for _ in range(len(self.levels[level])) for p in self.take(level)]
+    def join(self) -> None:
+        """Lays two windows of the fullest of the levels that have the most end to end."""
+        level = self.window - int(np.argmax(self.counts[::-1]))
+        rest = self.lay(self.take(level) + self.take(level))
+        if rest:
+            self.put(sum(len(p[3]) for p in rest) // 4, rest)
+
+    def lay(self, pieces: list) -> list:
+        """Closes full windows of these pieces, cut where they end; the pieces of the last, not full, are returned."""
         window: list[tuple] = []
         room = self.window
         for key, start, total, ids in pieces:
@@ -103,7 +112,7 @@ class Packer:
 
     def finish(self) -> None:
         """Closes all windows, without padding."""
-        rest = self.drain()
+        rest = self.lay([p for level in range(self.window, 0, -1) for _ in range(len(self.levels[level])) for p in self.take(level)])
         fill = sum(len(p[3]) for p in rest) // 4
         while fill:
             size = 1 << (fill.bit_length() - 1)

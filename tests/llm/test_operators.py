@@ -190,6 +190,76 @@ def test_packing_gives_every_id_back(spark):
     assert pack(table.limit(0)).count() == 0
 
 
+class PlainPacker:
+    """The rule by its definition: the sum of squares after each possible placement, over lists of (document, start, length)."""
+
+    def __init__(self, window):
+        self.window, self.open, self.closed = window, [], []
+
+    def squares(self, fills):
+        return sum(fills.count(f) ** 2 for f in set(fills))
+
+    def add(self, key, size):
+        start = 0
+        while size - start >= self.window:
+            self.closed.append([(key, start, self.window)])
+            start += self.window
+        if size == start:
+            return
+        rest = size - start
+        fills = [sum(p[2] for p in w) for w in self.open]
+        options = []
+        for f in {0, *fills}:
+            if f + rest <= self.window:
+                after = list(fills)
+                if f:
+                    after.remove(f)
+                options.append((self.squares([*after, f + rest] if f + rest < self.window else after), -f))
+        fill = -min(options)[1]
+        own = next(w for w in reversed(self.open) if sum(p[2] for p in w) == fill) if fill else []
+        if fill:
+            self.open = [w for w in self.open if w is not own]
+        own.append((key, start, rest))
+        (self.closed if fill + rest == self.window else self.open).append(own)
+
+
+def test_packing_follows_the_rule():
+    """Every document goes where the sum of squares is least, also with far more windows open than any one level."""
+    from chanspark.llm.packing import Packer
+
+    rng = random.Random(9)
+    for window, sizes in ((24, [rng.randint(1, 60) for _ in range(1500)]), (64, [rng.choice((33, 40, 47, 5)) for _ in range(900)]), (16, [rng.randint(9, 15) for _ in range(700)])):
+        packer, plain = Packer(0, window), PlainPacker(window)
+        for k, size in enumerate(sizes):
+            packer.add(k, np.arange(size, dtype="<u4").tobytes())
+            plain.add(k, size)
+            assert sorted(level for level in range(window + 1) for _ in packer.levels[level]) == sorted(sum(p[2] for p in w) for w in plain.open)
+        assert sorted((d[0], d[1], d[2]) for d in packer.done) == sorted(p for w in plain.closed for p in w)
+
+
+def test_packing_in_bounded_memory():
+    """Lengths that never fit together: open windows are laid end to end by twos; every id comes out once, without padding."""
+    from chanspark.llm.packing import Packer
+
+    for size in (15, 7, 9):
+        packer = Packer(0, 20, 0)
+        assert packer.max_ids == 400
+        for k in range(500):
+            packer.add(k, np.arange(size, dtype="<u4").tobytes())
+            assert packer.held <= packer.max_ids == 400 and packer.held == sum(level * int(n) for level, n in enumerate(packer.counts))
+        packer.finish()
+        ids = {}
+        for key, start, length, _, total, _, _, data in packer.done:
+            assert total == size
+            ids.setdefault(key, []).append((start, length, data))
+        for own in ids.values():
+            assert b"".join(d for _, _, d in sorted(own)) == np.arange(size, dtype="<u4").tobytes()
+        fills = {}
+        for d in packer.done:
+            fills[d[5]] = fills.get(d[5], 0) + d[2]
+        assert len(ids) == 500 and all(f == 20 or f & (f - 1) == 0 for f in fills.values())
+
+
 def test_quality(spark):
     rows = [r for r in ROWS if r[0] is not None and r[0] != 2 and r[0] != 6] + [(100 + k, f"{PROSE} Number {k} of {'#' * (k % 5)} the list.\n{PROSE[:20 + k]}", "en", "web" if k % 3 else "book") for k in range(200)]
     table = docs(spark, rows)

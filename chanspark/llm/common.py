@@ -30,14 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether df has no more than that many rows; reads no further than needed."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if its counted size is within the bound, else df as it is (a shuffle join follows)."""
-    return F.broadcast(df) if at_most(df, rows) else df
+    """df marked for broadcast if it has no more than that many rows, else df as it is (a shuffle join follows).
+
+    df is counted, so it should be cheap to read: a checkpoint, or little more than one.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def text_of(column: str) -> Column:

@@ -9,9 +9,11 @@ positional and length bounds (the window has to lie inside the document at the o
 exact comparison of its words decide.
 
 The prefix tokens come from the benchmark alone. Up to MAX_TOKENS of them, counted first, are tested inside each row, so
-that only meetings leave it; beyond that, all shingles are joined by a shuffle. Then a document's few candidates are
-joined with the windows and folded per document. Only DataFrame functions are used; nothing is collected but the tokens
-below that bound.
+that only meetings leave it. Beyond that, shingles are joined with them as (id, hashes, position), without any words: a
+semi join that broadcasts up to MAX_BROADCAST_TOKENS and shuffles above; what it finds is folded per document and joined
+back to the texts. From there on both ways are one: a document's few candidates are joined with the windows, with the
+words around them, and folded per document. Only DataFrame functions are used; nothing is collected but the tokens below
+the first bound.
 
 Nulls: a null text (or item text) has no words. Repeated documents each get their row; documents with the same id and
 text are folded as one and written out as often as they occur. Repeated items count once for each id; items without an
@@ -28,6 +30,10 @@ from .common import cut, small, text_of
 WINDOW = 10
 SHINGLE = 5
 MAX_TOKENS = 50_000
+#: Prefix tokens (12 bytes each) that are broadcast at most where they are joined.
+MAX_BROADCAST_TOKENS = 1_000_000
+#: Documents with candidates (an id, a hash and a few positions each) that are broadcast at most to be joined back.
+MAX_BROADCAST_MET = 200_000
 #: Windows that are broadcast at most (about 250 bytes each).
 MAX_BROADCAST_WINDOWS = 200_000
 #: Ids of contaminated documents that are broadcast at most; beyond, the join shuffles.
@@ -74,13 +80,18 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
     base = base.withColumn("w", _words(F.col("t"))).drop("t")
     found = []
     w = F.col("w")
+    kind = "array<struct<k:int,at:int,h:bigint>>"
+    spread = base
     for k in sorted(r["k"] for r in sizes):
         at = F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), _token(w, k)))
-        base = base.withColumn(f"tokens_{k}", at)
+        spread = spread.withColumn(f"tokens_{k}", at)
         listed = _listed(f"tokens_{k}", [r["hash"] for r in windows.where(F.col("k") == k).select("hash").distinct().collect()]) if tested else F.col(f"tokens_{k}")
-        found.append(F.coalesce(listed, F.array().cast("array<struct<k:int,at:int,h:bigint>>")))
-    none = F.array(F.lit(None).cast("struct<k:int,at:int,h:bigint>"))
-    spread = base.withColumn("c", F.concat(none, *found) if found else none)
+        found.append(F.coalesce(listed, F.array().cast(kind)))
+    spread = spread.withColumn("c", F.concat(*found) if found else F.array().cast(kind))
+    if not tested:
+        spread = _joined(base, spread, windows)
+    # Every document has a row without a candidate, which brings it through the joins.
+    spread = spread.withColumn("c", F.concat(F.array(F.lit(None).cast("struct<k:int,at:int,h:bigint>")), "c"))
     # A candidate takes the words around it along, not the whole text: no window reaches further than this.
     reach = window - 1
     around = F.transform("c", lambda x: F.struct(
@@ -88,9 +99,10 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
         F.when(x.isNotNull(), F.transform(F.sequence(F.greatest(x["at"] - reach, F.lit(0)), F.least(x["at"] + reach, F.size("w") - 1)), lambda j: F.get(F.col("w"), j))).alias("near"),
     ))
     rows = spread.select("id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode(around).alias("c"))
-    rows = rows.select("id", "text_hash", "n_words", "c.*")
+    # Rows without a candidate get keys of their own (of size 0, which no window has), not all the same null.
+    rows = rows.select("id", "text_hash", "n_words", "c.*", F.coalesce("c.k", F.lit(0)).alias("jk"), F.coalesce("c.h", F.xxhash64("id", "text_hash")).alias("jh"))
     sides = windows.select(F.col("k").alias("wk"), F.col("hash").alias("wh"), "offset", "words", "items")
-    met = rows.join(small(sides, MAX_BROADCAST_WINDOWS), (F.col("k") == F.col("wk")) & (F.col("h") == F.col("wh")), "left")
+    met = rows.join(small(sides, MAX_BROADCAST_WINDOWS), (F.col("jk") == F.col("wk")) & (F.col("jh") == F.col("wh")), "left")
     first = F.col("at") - F.col("offset")
     fits = (first >= 0) & (first + F.size("words") <= F.col("n_words"))
     same = F.slice("near", F.greatest(first - F.col("from") + 1, F.lit(1)), F.size("words")) == F.col("words")
@@ -101,6 +113,17 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
     return folded.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "id", "text_hash", "n_words", "hits").select(F.col("id").alias(key), "text_hash", "n_words", "hits")
 
 
+def _joined(base: DataFrame, spread: DataFrame, windows: DataFrame) -> DataFrame:
+    """base with each document's shingles that are prefix tokens as an array c, by joins instead of a list."""
+    tokens = windows.select(F.col("k").alias("wk"), F.col("hash").alias("wh")).distinct()
+    every = spread.select("id", "text_hash", F.explode("c").alias("x")).select("id", "text_hash", "x.*")
+    met = every.join(small(tokens, MAX_BROADCAST_TOKENS), (F.col("k") == F.col("wk")) & (F.col("h") == F.col("wh")), "left_semi")
+    # Copies with one id find the same; a set keeps each once.
+    met = cut(met.groupBy(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.collect_set(F.struct("k", "at", "h")).alias("c")))
+    whole = base.join(small(met, MAX_BROADCAST_MET), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left")
+    return whole.select(*base.columns, F.coalesce("c", F.array().cast("array<struct<k:int,at:int,h:bigint>>")).alias("c"))
+
+
 def _hasher(words: Column, size: int):
     return lambda i: _hash(words, i, size)
 

@@ -102,7 +102,11 @@ def test_decoding_has_no_contradictions():
                 assert chosen[k]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("bounds", [{}, {"MAX_TOKENS": 0}, {"MAX_TOKENS": 0, "MAX_BROADCAST_TOKENS": 0, "MAX_BROADCAST_MET": 0, "MAX_BROADCAST_WINDOWS": 0, "MAX_DIRTY": 0}])
+def test_decontamination(spark, monkeypatch, bounds):
+    """By the list of tokens, by broadcast joins and by shuffle joins alike."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(f"chanspark.llm.decontaminate.{name}", value)
     rng = random.Random(3)
     words = [f"w{k}" for k in range(30)]
     items = [(1, " ".join(rng.choices(words, k=14))), (2, " ".join(rng.choices(words, k=25))), (2, "alpha beta"), (3, "Single"), (4, None), (5, ""), (None, "gamma delta epsilon"), (6, "x " * 12)]
@@ -123,15 +127,16 @@ def test_decontamination(spark):
 
 def test_decontamination_of_capital_sigma(spark):
     """Full lower case of a sigma depends on its neighbours, so a text and its words would give other letters."""
-    items = [(1, "Δ.Σ. one two three"), (2, "ΟΔΟΣ:ΑΒ is the way")]
+    items = [(1, "Δ.Σ. one two three"), (2, "ΟΔΟΣ:ΑΒ is the way"), (3, "İSTANBUL ISPARTA ılık"), (4, "300 Klvin K"), (5, "ΟΔΟΣ'Α ΑΣ.Β"), (6, "ΑΣ:Β")]
     rows = [(1, "It reads Δ.Σ. one two three here", "el", "s"), (2, "ΟΔΟΣ:ΑΒ is the way", "el", "s"), (3, "οδοσ αβ is the way", "el", "s")]
+    rows += [(4, "x İSTANBUL isparta ılık", "tr", "s"), (5, "i̇stanbul isparta ılık", "tr", "s"), (6, "at 300 KLVIN K.", "en", "s"), (7, "300 klvin k", "en", "s"), (8, "ΟΔΟΣ'Α ΑΣ.Β", "el", "s"), (9, "x ΑΣ:Β y", "el", "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {r.doc_id: r for r in decontaminate(docs(spark, rows), bench).collect()}
     for d, t, *_ in rows:
         n, hit, ids = windows_hit(t, items)
         assert (found[d].n_words, found[d].n_hit, found[d].n_items) == (n, hit, len(ids))
-    assert [found[d].contaminated for d in (1, 2, 3)] == [True, True, False]
-    assert [r.doc_id for r in keep_clean(docs(spark, rows), bench).collect()] == [3]
+    assert [d for d in sorted(found) if not found[d].contaminated] == [3, 5, 7]
+    assert sorted(r.doc_id for r in keep_clean(docs(spark, rows), bench).collect()) == [3, 5, 7]
 
 
 ALPHABET = ["a", "b", "The", " ", "  ", "\n", "\t", ".", ",", "▁", "é", "ß", "\x03", "\x05", "'s", "1", "23", "<|endoftext|>", "<s>", "</s>", " ", "　", "🙂", "﻿", "中文", "\x00", "\r\n", "…", "ﬁ"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,7 +31,22 @@ def ship(spark: SparkSession) -> None:
     context._chanspark_shipped = True
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where it is unset, a local folder if all run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share with the driver")
+    return tempfile.gettempdir()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, or below the local temporary folder where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/chanspark-{uuid.uuid4().hex}"
+    """A new folder name below shared_base()."""
+    return f"{shared_base(spark)}/chanspark-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from chanspark.operators import tables as ops
@@ -43,3 +44,27 @@ def test_aggregates(spark):
     x = spark.range(1).select(ops.extract_bits(F.lit(0b1011000), 3, 4).alias("u"), ops.extract_bits(F.lit(0b1011000), 3, 4, True).alias("s")).first()
     assert (x.u, x.s) == (0b1011, 0b1011 - 16)
     assert ops.concat([spark.range(1), spark.sql("select 2L id, 'x' y")]).count() == 2
+
+
+def test_shared_folder():
+    """Without spark.checkpoint.dir a local folder will do only where all runs on one machine."""
+    from types import SimpleNamespace
+
+    from chanspark.session import shared_base, shared_dir
+
+    session = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda name, other: folder or other), sparkContext=SimpleNamespace(master=master))
+    assert shared_base(session("spark://host:7077", "hdfs://store/shared/")) == "hdfs://store/shared"
+    assert shared_dir(session("local[4]")) != shared_dir(session("local[4]")) and shared_base(session("local"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_base(session(master))
+
+
+def test_remove(spark):
+    from chanspark.session import remove, shared_dir
+
+    folder = shared_dir(spark)
+    spark.range(3).write.parquet(folder)
+    remove(spark, folder)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(folder)

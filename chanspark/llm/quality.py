@@ -170,4 +170,6 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     features = with_features(docs, text, lang, source)
     features.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(docs.columns, plain, strict=True)], *narrow).write.parquet(folder)
     features = docs.sparkSession.read.parquet(folder)
-    return with_verdict(features, limits(features)).where("__q_kept").select(*[F.col(p).alias(c) for c, p in zip(docs.columns, plain, strict=True)])
+    kept = with_verdict(features, limits(features)).where("__q_kept").select(*[F.col(p).alias(c) for c, p in zip(docs.columns, plain, strict=True)])
+    kept.scratch_folder = folder  # of no use once the result is written, which only the caller knows
+    return kept

@@ -2,8 +2,8 @@
 
 Plain ball hashing for radius 4 has every fingerprint emit its 2081 variants within 2 bits; two fingerprints within 4
 bits share one of them. Here the radius is first cut down by leaving out a third of the bits: of the three blocks of 21,
-21 and 22 bits, one holds at least two of any three or four differing bits, so with the right block left out the
-remaining 42 or 43 bits differ in 2 bits at most, and variants within half of that (1 bit) meet. So a fingerprint emits
+21 and 22 bits, one holds at least two of any four differing bits and at least one of any three, so with that block left
+out the remaining 42 or 43 bits differ in 2 bits at most, and variants within half of that (1 bit) meet. So a fingerprint emits
 43 or 44 variants for each of three masks, 131 in all; pairs that meet are then verified on all 64 bits. Keys of 42 bits
 leave about one chance meeting in 10^10 pairs, so buckets hold near copies and little else.
 
@@ -71,6 +71,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return map_batches(rows, run, "id long, text_hash long, fp long")
 
 
+def _orderable(docs: DataFrame, column: str) -> Column:
+    """A column, or its JSON where values of its type have no order."""
+    return F.to_json(F.array(F.col(f"`{column}`"))) if any(x in docs.schema[column].dataType.simpleString() for x in ("map<", "variant")) else F.col(f"`{column}`")
+
+
 def _text_hash(text: str) -> Column:
     return F.xxhash64(text_of(text))
 
@@ -185,7 +190,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component with docs' own columns: the one of the smallest id, a row without id only where there is
-    no other; of rows alike in that the one whose text has the smallest hash; of rows alike in both any one."""
+    no other; of rows alike in that the one whose text has the smallest hash; of rows alike in both the smallest one by its
+    other columns, in their order."""
     return one_of_each(docs, components(cut(fingerprints(docs, text, key))), text, key)
 
 
@@ -199,5 +205,5 @@ def one_of_each(docs: DataFrame, found: DataFrame, text: str, key: str) -> DataF
     if kept.where("__s_copies > 1").isEmpty():
         return chosen(kept)
     # Rows that occur more than once, id and text alike: these alone are grouped, with partial aggregates.
-    repeated = chosen(kept.where("__s_copies > 1")).groupBy(F.col(f"`{key}`").alias("__s_id"), _text_hash(text).alias("__s_hash")).agg(F.first(F.struct(*own)).alias("__s_row"))
+    repeated = chosen(kept.where("__s_copies > 1")).groupBy(F.col(f"`{key}`").alias("__s_id"), _text_hash(text).alias("__s_hash")).agg(F.min_by(F.struct(*own), F.struct(*[_orderable(docs, c) for c in docs.columns])).alias("__s_row"))
     return chosen(kept.where("__s_copies = 1")).unionByName(repeated.select("__s_row.*"))

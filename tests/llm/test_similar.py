@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chanspark.llm.similar import forest, keep_one_similar
 
-from .helpers import LONG, ROWS, docs, lower
+from .helpers import LONG, PROSE, ROWS, docs, lower
 
 
 def shingles(text):
@@ -54,6 +55,16 @@ def test_near_copies(spark):
     assert keep_one_similar(docs(spark, [])).count() == 0
 
 
+def test_rows_alike_in_id_and_text(spark):
+    """The smallest by the other columns stays, in whatever order the rows come, also beside a column without an order."""
+    rows = [(1, PROSE, "en", s) for s in ("web", "book", "code", None)]
+    for some in (rows, rows[::-1]):
+        table = docs(spark, some).withColumn("m", F.create_map(F.lit("k"), "source"))
+        assert [(r.doc_id, r.source, r.m["k"]) for r in keep_one_similar(table).collect()] == [(1, None, None)]
+        table = docs(spark, some[1:] if some[0][3] == "web" else some[:-1]).where("source IS NOT NULL").withColumn("m", F.create_map(F.lit("k"), "source"))
+        assert [(r.doc_id, r.source, r.m["k"]) for r in keep_one_similar(table).collect()] == [(1, "book", "book")]
+
+
 def test_near_copies_beyond_simhash(spark):
     """A pair of similarity 0.83 whose fingerprints differ in nine bits."""
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id IN (1, 177)")

@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for the rest.
 
 Patterns (assignments, access keys, long hexadecimal runs) are matched leftmost and without overlaps, each kind for
-itself. Every other token of MIN_TOKEN or more characters that mixes digits and letters is tested:
-  1. the narrowest alphabet that fits is inferred (hexadecimal, base 32, 36, 62, 64);
+itself. Every other token of MIN_TOKEN or more characters with a letter in it is tested:
+  1. the narrowest alphabet that fits is inferred (letters of one case, hexadecimal, base 32, 36, 52, 62, 64; hexadecimal
+     digits in groups joined by '-' are read without the joints);
   2. chi-squared uniformity over cells of that alphabet, the runs test about its middle and lag-1 serial correlation each
      give a p-value under "drawn uniformly"; a token fails the battery if three times the smallest is below MIN_P;
   3. the likelihood ratio of "uniform" against characters of natural text is an e-value, which grows with the length;
-     a document's tokens are held to a false-discovery rate of FDR by the e-BH rule over all its tested tokens.
+     a document's tokens are held to a false-discovery rate of FDR by the e-BH rule over all its tested tokens, with a
+     weight of PLAIN_WEIGHT for those of letters of one case (as long words are) and 1 for others, scaled to a mean of 1.
 A token that fits no alphabet or does not pass (a path with a key in it, say) is split at '/', '+', '-' and '_'. Runs of parts
 that look random together, or else single parts, are tested like tokens of their own, and count as such in the e-BH rule.
 What passes both is a span of the kind "random", unless it overlaps a pattern's span. Spans count code points, the end
@@ -29,9 +31,10 @@ from pyspark.sql import types as T
 from .common import map_batches
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_TOKEN = 20
+MIN_TOKEN = 16
 MIN_P = 0.003
 FDR = 0.01
+PLAIN_WEIGHT = 0.05
 #: Logarithm of the least e-value with which any token can pass.
 PASSES = -math.log(FDR)
 
@@ -44,9 +47,14 @@ _ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 _HEX = re.compile("[0-9a-f]{32,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_TOKEN)
 _PART = re.compile("[A-Za-z0-9]+")
-_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
-#: Shares of letters in natural text (of all letters), and of the classes of characters in its long tokens.
+_GROUPS = re.compile("(?:[0-9a-f]{4,}(?:-[0-9a-f]{4,})+|[0-9A-F]{4,}(?:-[0-9A-F]{4,})+)")
+_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF", "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
+#: Alphabet -> the value of each of its digits.
+_SETS = {frozenset(a): {c: k for k, c in enumerate(a)} for a in _ALPHABETS}
+#: Shares of letters in natural text (of all letters), and of the classes of characters in its long tokens. For plain words
+#: a quarter of the weight goes to equal shares, as other languages have other rare letters.
 _LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.2, 0.2, 0.1, 0.1), strict=True))
+_MIXED = {c: 0.75 * s / sum(_LETTERS.values()) + 0.25 / 26 for c, s in _LETTERS.items()}
 _NATURAL = {c: 0.84 * s / 100.1 for c, s in _LETTERS.items()} | {c.upper(): 0.05 * s / 100.1 for c, s in _LETTERS.items()} | {c: 0.007 for c in "0123456789"} | {c: 0.01 for c in "+/_-"}
 
 
@@ -110,13 +118,28 @@ def log_e(token: str, size: int) -> float:
 
 def _tested(token: str) -> float | None:
     """Logarithm of a token's e-value, -inf if it fits no alphabet or fails the battery; None if it is not to be tested."""
-    symbols = set(token)
-    if len(token) < MIN_TOKEN or not (any("0" <= c <= "9" for c in symbols) and any(c.isalpha() for c in symbols)):
+    if len(token) < MIN_TOKEN or token.isdecimal() or not any(c.isalpha() for c in token):
         return None
-    alphabet = next((a for a in _ALPHABETS if symbols <= set(a)), None)
-    if alphabet is None or 3 * min(battery([alphabet.index(c) for c in token], len(alphabet))) < MIN_P:
+    if _GROUPS.fullmatch(token):
+        token = token.replace("-", "")
+    symbols = set(token)
+    if token.isalpha() and token[1:].islower():
+        token = token.lower()  # a capital in front is the custom of writing
+        symbols = set(token)
+    alphabet = next((a for a in _SETS if symbols <= a), None)
+    if alphabet is None:
         return -math.inf
-    return log_e(token, len(alphabet))
+    digits = _SETS[alphabet]
+    value = log_e(token, len(digits))
+    if token.isalpha() and (token.islower() or token.isupper()):
+        value = sum(-math.log(26) - math.log(_MIXED[c]) for c in token.lower())
+    # Below zero no weight lets it pass, so the battery may be left out.
+    return value if value < 0 or 3 * min(battery([digits[c] for c in token], len(digits))) >= MIN_P else -math.inf
+
+
+def _weight(token: str) -> float:
+    """Weight before scaling."""
+    return PLAIN_WEIGHT if token.isalpha() and (token.isupper() or token[1:].islower()) else 1.0
 
 
 def _runs(token: str, single: list[tuple[int, int]], separators: str) -> list[tuple[int, int]]:
@@ -165,16 +188,15 @@ def random_tokens(text: str) -> list[tuple[int, int]]:
         token = m[0].rstrip("=")
         value = _tested(token)
         if value is not None:
-            tested.append((value, m.span()))
+            tested.append((value, _weight(token), m.span()))
         if value is None or value < PASSES:
             # Padding belongs to the part that it follows.
-            tested += [(v, (m.start() + a, m.end() if b == len(token) else m.start() + b)) for v, a, b in _parts(token)]
-    tested.sort(key=lambda x: (-x[0], x[1]))
-    most = 0
-    for k, (value, _) in enumerate(tested, 1):
-        if value >= math.log(len(tested) / (k * FDR)):
-            most = k
-    return sorted(span for _, span in tested[:most])
+            tested += [(v, _weight(token[a:b]), (m.start() + a, m.end() if b == len(token) else m.start() + b)) for v, a, b in _parts(token)]
+    weights = sum(w for _, w, _ in tested)
+    # e-BH over weight / mean weight * e: the k-th passes at n / (k FDR), where the number n of tests cancels out.
+    passing = sorted((math.log(w) + value, span) for value, w, span in tested)[::-1]
+    most = max((k for k, (value, _) in enumerate(passing, 1) if value >= math.log(weights / (k * FDR))), default=0)
+    return sorted(span for _, span in passing[:most])
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:

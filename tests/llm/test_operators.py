@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -317,6 +318,69 @@ def test_random_tokens_in_paths(spark):
     assert secrets.scan(plain) == []
 
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("alphabet, least", [(DIGITS + "abcdef", 0.97), (DIGITS + "ABCDEF", 0.97), ("234567" + UPPER, 0.93), (DIGITS + LOWER, 0.8), (LOWER + UPPER, 0.95), (LOWER + UPPER + DIGITS, 0.95), (LOWER + UPPER + DIGITS + "+/", 0.95), (LOWER + UPPER + DIGITS + "-_", 0.95)])
+def test_recall_of_random_tokens(alphabet, least):
+    """Tokens from 16 characters on, with digits or without."""
+    rng = random.Random(21)
+    for size in (16, 18, 20, 24, 32, 40):
+        found = 0
+        for _ in range(200):
+            key = "".join(rng.choices(alphabet, k=size))
+            text = f"{PROSE} Then {key} came."
+            at = text.index(key)
+            found += sum(min(b, at + size) - max(a, at) for a, _, b in secrets.scan(text)) >= 0.9 * size
+        assert found >= 200 * least, (size, found)
+
+
+def test_random_tokens_in_groups():
+    rng = random.Random(22)
+    for _ in range(100):
+        h = "".join(rng.choices("0123456789abcdef", k=30))
+        key = f"{h[:8]}-{h[8:12]}-4{h[12:15]}-a{h[15:18]}-{h[18:]}"
+        assert len(key) == 36 and secrets.scan(f"id {key} ok")[0] == (3, 3, 39)
+
+
+#: Long tokens of natural and technical text.
+NATURAL = """https://www.example.com/2024/01/15/some-title-of-an-article getElementsByClassName Donaudampfschifffahrtsgesellschaft antidisestablishmentarianism 2024-01-15T10-30-00
+ IMG_20240115_123456 konstantynopolitanczykowianeczka /usr/local/lib/python3.13/site-packages/numpy/core AbstractSingletonProxyFactoryBean Rechtsschutzversicherungsgesellschaften
+ hippopotomonstrosesquippedaliophobia INTERNATIONALIZATION_OF_THE_KEYBOARD configuration-management-database-2024 MAX_BUFFER_SIZE_IN_BYTES_32 org/apache/spark/sql/catalyst/expressions/codegen
+ java.util.concurrent.ConcurrentHashMap 4111111111111111 +49-30-123456789012 abcdefghijklmnopqrstuvwxyz 0123456789abcdef deadbeefdeadbeefdeadbeef jQuery3310123_5551239 przeciwwskazaniami
+ v1.2.3-rc.4-linux-x86_64 x86_64-unknown-linux-gnu mod_proxy_fcgi_module-2.4.57 covid-19-vaccination-2021-update"""
+
+
+def test_false_alarms_of_random_tokens():
+    assert secrets.scan(NATURAL) == [] and not [w for w in NATURAL.split() if secrets.scan(w)]
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchall()]
+    assert sum(len([s for s in secrets.scan(t) if s[1] == 3]) for t in texts) == 0
+
+
+def test_battery_by_definition():
+    """p-values against closed forms and against what shuffled and random digits give; the rule against its definition."""
+    for x in (0.1, 0.7, 2.0, 9.0, 30.0):
+        assert np.isclose(secrets.gamma_q(1.0, x), np.exp(-x)) and np.isclose(secrets.gamma_q(2.0, x), (1 + x) * np.exp(-x))
+        assert np.isclose(secrets.gamma_q(0.5, x), math.erfc(x**0.5))
+    rng = np.random.default_rng(3)
+    p = np.array([secrets.battery(rng.integers(0, 64, 400).tolist(), 64) for _ in range(2000)])
+    assert (np.abs(np.mean(p < 0.05, axis=0) - 0.05) < 0.025).all() and (np.abs(np.mean(p < 0.5, axis=0) - 0.5) < 0.06).all()
+    ramp = sorted(rng.integers(0, 64, 400).tolist())
+    assert secrets.battery(ramp, 64)[1] < 1e-9 and secrets.battery(ramp, 64)[2] < 1e-9 and secrets.battery([5] * 400, 64)[0] < 1e-9
+    # Weighted e-BH: the largest k of which at least k tokens have weight / mean weight * e >= n / (k FDR).
+    r = random.Random(5)
+    for _ in range(60):
+        words = ["".join(r.choices(r.choice((LOWER, LOWER + DIGITS, LOWER + UPPER + DIGITS, "etaoinsrh", "etaoinsrhTA")), k=r.randint(16, 26))) for _ in range(r.randint(1, 8))]
+        values = [secrets._tested(w) for w in words]
+        weights = [0.05 if w.isalpha() and (w.isupper() or w[1:].islower()) else 1.0 for w in words]
+        mean = sum(weights) / len(weights)
+        scaled = [w / mean * np.exp(v) for w, v in zip(weights, values, strict=True)]
+        most = max((k for k in range(len(words) + 1) if k == 0 or sum(e >= len(words) / (k * 0.01) for e in scaled) >= k))
+        want = sorted(w for e, w in sorted(zip(scaled, words, strict=True), reverse=True)[:most])
+        text = " ".join(words)
+        assert sorted(text[a:b] for a, b in secrets.random_tokens(text)) == want
+
+
 def near_copies():
     rng = random.Random(4)
     base = " ".join(f"word{rng.randrange(3000)}" for _ in range(400)).split()

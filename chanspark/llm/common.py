@@ -23,10 +23,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, so a lost executor costs no recomputation."""
+def cut(df: DataFrame, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, so a lost executor costs no recomputation.
+
+    rows: what df has at most, where that is known. Then no more files are written than per_file asks for, as small
+    tables over many partitions are mostly the cost of files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).checkpoint(eager=True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -156,10 +156,10 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        edges = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), now[0])
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         small = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct())
+        edges = cut(small.distinct(), 2 * now[0])
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -8,10 +8,16 @@ value", one for each header, in order. Identifiers are UUIDs (version 5) of the
 derivative, so a repeated run, or a task that is run again, gives the same records. Digests are SHA-1 in base 32 over
 the exact bytes of a record's block, as is the custom of web archives.
 
-Archives are read with Spark's text source, a record a row, so that any store which Spark reads will do and a plain file
-is split over many tasks; a gzip file (one member for each record, or one in all) is streamed by one task. A record whose
-block is shorter or longer than its Content-Length says is passed on marked as not intact and has no derivatives. Records
-are written with Spark's text sink; a task that is run again writes its file again. Nothing is shuffled.
+Archives are read with Spark's text source, so that any store which Spark reads will do. It cuts files where a version line
+(of WARC/1.0, 1.1 and other versions 1) follows two line ends; as blocks may hold that, too, Content-Length decides: a
+piece that is shorter than it says goes on in the next one. A gzip file (one member for each record, or one in all) is
+streamed by one task. A plain file is split over many tasks; only if a record is not complete at the end of one's range
+is that file put in order and read by a single task. A record that does not agree with its Content-Length even so is
+passed on, marked as not intact, and has no derivatives: nothing is left out unseen. Records are written with Spark's text
+sink; a task that is run again writes its file again. Else nothing is shuffled.
+
+Bodies that are chunked, or compressed as gzip, deflate or zstd, are decoded before their text is extracted; another
+encoding, or a body that does not decode, gives an empty text and a field "source-undecoded" in the metadata record.
 
 Nulls and odd rows: a null URL gives records without a target URI; a null or empty page has an empty payload and an empty
 text. Repeated rows give repeated records with the same identifiers. An empty table gives an empty result.
@@ -20,15 +26,18 @@ text. Repeated rows give repeated records with the same identifiers. An empty ta
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import cut, map_arrow
 from .dom import plain_text
 
 VERSION = "WARC/1.0"
@@ -82,14 +91,60 @@ def decoded(payload: bytes, headers: list[str]) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def header(headers: list[str], name: str) -> str:
+    """Value of the last header of that name, in lower case; empty if there is none."""
+    found = [v for n, _, v in (h.partition(":") for h in headers[1:]) if n.strip().lower() == name]
+    return found[-1].strip().lower() if found else ""
+
+
+def unchunked(data: bytes) -> bytes:
+    """A body from its chunks."""
+    out, at = [], 0
+    while True:
+        end = data.index(b"\r\n", at)
+        size = int(data[at:end].split(b";")[0].strip(), 16)
+        if not size:
+            return b"".join(out)
+        if len(data) < end + 2 + size:
+            raise ValueError("chunk cut short")
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def body(headers: list[str], payload: bytes) -> bytes | None:
+    """The payload without transfer and content encodings; None if it can't be decoded."""
+    try:
+        if "chunked" in header(headers, "transfer-encoding"):
+            payload = unchunked(payload)
+        for name in reversed(header(headers, "content-encoding").split(",")):
+            name = name.strip()
+            if name in ("gzip", "x-gzip"):
+                payload = gzip.decompress(payload)
+            elif name == "deflate":
+                try:
+                    payload = zlib.decompress(payload)
+                except zlib.error:
+                    payload = zlib.decompress(payload, -zlib.MAX_WBITS)
+            elif name == "zstd":
+                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+            elif name not in ("", "identity"):
+                return None
+    except (ValueError, EOFError, OSError, zlib.error, zstandard.ZstdError):
+        return None
+    return payload
+
+
 def derive_one(response: dict) -> list[dict]:
     """The metadata and the conversion record of a response record."""
     headers, payload = split_http(response["block"])
-    text = plain_text(decoded(payload, headers))
+    content = body(headers, payload)
+    text = "" if content is None else plain_text(decoded(content, headers))
     source = response.get("payload_digest") or digest(payload)
     text_block = text.encode()
     ids = {kind: record_id(kind, response["record_id"]) for kind in ("metadata", "conversion")}
     fields = [("source-status", headers[0])] + [("source-header", h) for h in headers[1:] if h]
+    if content is None:
+        fields.append(("source-undecoded", header(headers, "content-encoding") or header(headers, "transfer-encoding")))
     fields += [("source-block-digest", response.get("block_digest") or digest(response["block"])), ("source-payload-digest", source), ("source-payload-length", str(len(payload))), ("conversion-id", ids["conversion"]), ("conversion-digest", digest(text_block)), ("conversion-characters", str(len(text)))]
     meta = "".join(f"{name}: {value}\r\n" for name, value in fields)
     common = {"refers_to": response["record_id"], "target_uri": response["target_uri"], "warc_date": response["warc_date"], "source_digest": source}
@@ -180,17 +235,69 @@ def parse_record(data: bytes) -> dict | None:
     return row
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, plain or gzip, whose records begin with the version line of WARC/1.0."""
+#: Between two records, and what is left of the next one's version line.
+_BETWEEN = _END + "WARC/1."
+
+
+class Joiner:
+    """Records from the pieces of files, in order: pieces are laid together until Content-Length is reached."""
+
+    def __init__(self) -> None:
+        self.file: str | None = None
+        self.parts: list[bytes] = []
+        self.size, self.wanted = 0, 0
+
+    def add(self, file: str, piece: bytes) -> Iterator[tuple[dict, str, bool]]:
+        """Rows that are complete now, their file, and whether their end was seen."""
+        if file != self.file:
+            yield from self.end()
+            self.file = file
+        if self.parts:
+            piece = _BETWEEN.encode() + piece
+        else:
+            head, found, block = piece.partition(b"\r\n\r\n")
+            lengths = [v.strip() for n, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if n.strip().lower() == b"content-length"]
+            self.wanted = len(head) + 4 + int(lengths[-1]) if found and lengths and lengths[-1].isdigit() else 0
+        self.parts.append(piece)
+        self.size += len(piece)
+        if self.size >= self.wanted:
+            yield from self.end()
+
+    def end(self) -> Iterator[tuple[dict, str, bool]]:
+        """What there is of the record that is not complete yet."""
+        if self.parts and (row := parse_record(b"".join(self.parts))) is not None:
+            yield row, self.file, self.size >= self.wanted
+        self.parts, self.size = [], 0
+
+
+def read_archive(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The records of WARC files, plain or gzip. A record that its file does not hold whole is there, not intact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                if (row := parse_record(data.as_py())) is not None:
-                    yield _archive_batch([row])
+        joiner = Joiner()
 
-    lines = spark.read.option("lineSep", _END + VERSION + "\r\n").text(path)
-    return map_arrow(lines.select(F.col("value").cast("binary").alias("value")), run, ARCHIVE)
+        def out(found: Iterator[tuple[dict, str, bool]]) -> Iterator[pa.RecordBatch]:
+            for row, file, ended in found:
+                batch = _archive_batch([row])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([file]), pa.array([ended])], names=[*batch.schema.names, "file", "ended"])
+
+        for batch in batches:
+            for data, file in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                yield from out(joiner.add(file, data.as_py()))
+        yield from out(joiner.end())
+
+    def pieces(path: str | list[str]) -> DataFrame:
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+        return spark.read.option("lineSep", _BETWEEN).text(path).select(F.col("value").cast("binary").alias("value"), *place)
+
+    schema = f"{ARCHIVE}, file string, ended boolean"
+    records = map_arrow(pieces(path).select("value", "file"), run, schema)
+    broken = cut(records.where("NOT ended").select("file").distinct())
+    if broken.isEmpty():
+        return records.drop("file", "ended")
+    whole = pieces(path).join(broken, "file", "left_semi").withColumn("n", F.monotonically_increasing_id())
+    whole = whole.repartition("file").sortWithinPartitions("file", "start", "n").select("value", "file")
+    return records.join(broken, "file", "left_anti").unionByName(map_arrow(whole, run, schema)).drop("file", "ended")
 
 
 def serialised(block: str = "block") -> Column:

@@ -427,7 +427,7 @@ def test_urls(spark):
 
 
 def test_warc(spark, tmp_path):
-    rows = [(1, "http://a/", "<p>One &amp; two</p><script>x</script><p>Three</p>"), (1, "http://a/", "<p>One &amp; two</p><script>x</script><p>Three</p>"), (2, None, None), (3, "http://b/\r\nX: y", "ü" * 10), (4, "u", "")]
+    rows = [(1, "http://a/", "<p>One &amp; two</p><script>x</script><p>Three</p>"), (1, "http://a/", "<p>One &amp; two</p><script>x</script><p>Three</p>"), (2, None, None), (3, "http://b/\r\nX: y", "ü" * 10), (4, "u", ""), (5, "u", "<p>" + "word " * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS id", "'y' AS block")
     direct = warc.derive_pages(pages).collect()
     assert len(direct) == 2 * len(rows)
@@ -452,6 +452,57 @@ def test_warc(spark, tmp_path):
     assert cut["intact"] is False and warc.derive_pages(pages.limit(0)).count() == 0
 
 
+def plain_archive(data):
+    """Records of an archive by a walk over its bytes."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        lines = data[at:end].decode().split("\r\n")
+        fields = {n.lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:])}
+        size = int(fields["content-length"])
+        yield fields, data[end + 4 : end + 4 + size]
+        at = end + 4 + size + 4
+
+
+@pytest.mark.parametrize("split", [None, "300"])
+def test_archives_by_content_length(spark, tmp_path, split):
+    """Versions 1.0 and 1.1, blocks that hold the separator, end in line ends or are chunked and compressed; plain files over many tasks."""
+    import gzip
+
+    html = lambda k: f"<p>Page {k} &amp; more</p>".encode()
+    chunked = lambda b: b"".join(f"{len(b[i:i + 7]):x}\r\n".encode() + b[i : i + 7] + b"\r\n" for i in range(0, len(b), 7)) + b"0\r\n\r\n"
+    http = lambda b, *h: b"\r\n".join([b"HTTP/1.1 200 OK", *h]) + b"\r\n\r\n" + b
+    record = lambda k, block, version="1.1", kind="response": f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{k}>\r\nWARC-Date: 2024-05-06T07:08:09Z\r\nWARC-Target-URI: http://h/{k}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    inner = record("inner", http(html("inner")), "1.0")
+    blocks = [http(html(0)), http(b"<p>before</p>\r\n\r\nWARC/1.0\r\nnot a record</p>"), http(inner + inner), http(html(3) + b"\r\n\r\n"), http(chunked(html(4)), b"Transfer-Encoding: chunked"), http(gzip.compress(html(5)), b"Content-Encoding: gzip"), http(b"\x00\xff" * 9, b"Content-Encoding: br"), http("ü".encode("latin-1"), b"Content-Type: text/html; charset=latin-1"), b"", http(b"")]
+    data = b"".join(record(k, b, "1.0" if k % 3 == 0 else "1.1") for k, b in enumerate(blocks)) + record(99, b"about", kind="warcinfo")
+    (tmp_path / "plain").mkdir(), (tmp_path / "plain" / "a.warc").write_bytes(data), (tmp_path / "plain" / "b.warc").write_bytes(record("b", blocks[0]))
+    (tmp_path / "packed").mkdir(), (tmp_path / "packed" / "a.warc.gz").write_bytes(gzip.compress(data[:900]) + gzip.compress(data[900:]))
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split), spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name in ("plain", "packed"):
+            found = warc.read_archive(spark, str(tmp_path / name))
+            want = [*plain_archive(data), *(plain_archive(record("b", blocks[0])) if name == "plain" else [])]
+            got = sorted((r.record_id, r.record_type, r.target_uri, bytes(r.block), r.intact) for r in found.collect())
+            assert got == sorted((f["warc-record-id"], f["warc-type"], f["warc-target-uri"], b, True) for f, b in want)
+            texts = {r.refers_to: r for r in warc.derive(found).where("record_type = 'conversion'").collect()}
+            assert len(texts) == len([1 for f, _ in want if f["warc-type"] == "response"])
+            said = lambda k: texts[f"<urn:uuid:{k}>"].block
+            assert [said(k) for k in (0, 3, 4, 5, 6, 7, 8, 9)] == ["Page 0 & more", "Page 3 & more", "Page 4 & more", "Page 5 & more", "", "ü", "", ""]
+            meta = {r.refers_to: r.block for r in warc.derive(found).where("record_type = 'metadata'").collect()}
+            assert "source-undecoded: br\r\n" in meta["<urn:uuid:6>"] and sum("source-undecoded" in m for m in meta.values()) == 1
+            for f, b in want:
+                if f["warc-type"] == "response":
+                    assert f"source-payload-digest: {warc.digest(b.partition(bytes((13, 10, 13, 10)))[2])}\r\n" in meta[f["warc-record-id"]]
+        # What is cut short is passed on, and marked.
+        (tmp_path / "short").mkdir(), (tmp_path / "short" / "c.warc").write_bytes(data[: data.index(b"about") + 2])
+        short = warc.read_archive(spark, str(tmp_path / "short")).collect()
+        assert len(short) == len(blocks) + 1 and [r.record_type for r in short if not r.intact] == ["warcinfo"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes"), spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_warc_digests_by_sql(spark):
     """Lengths and links of all records of a table hold."""
     r = warc.derive_pages(spark.read.parquet(f"{SF}/pages.parquet"))

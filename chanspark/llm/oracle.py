@@ -50,8 +50,9 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 
 URLS = r"""
 WITH r AS (SELECT page_id, CASE WHEN url IS NOT NULL AND contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM r),
-u AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^?#]*') AS path FROM h),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM r),
+u AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^?#]*') AS path,
+        regexp_extract(regexp_extract(rest, '^[^#]*'), '^[^?]*[?](.*)$', 1, 's') AS query FROM h),
 v AS (SELECT *, CASE
     WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
     WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
@@ -60,7 +61,9 @@ v AS (SELECT *, CASE
     WHEN ends_with('.' || host, '.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN contains('.' || host, '.spam-') OR contains('.' || host, '.cheap-') OR (contains(host, 'casino') AND path LIKE '/%') OR regexp_matches(path, '^/.*.sessionid=') THEN 'block'
+    WHEN regexp_matches('.' || host, '[-._/&=:](casino|poker|bets|betting|lottery|slots|jackpot|adult|porn|xxx|sex|escort|webcams|ads|adserver|adservice|banners|track|tracker|tracking|clicks|popunder|spam|cheap|pills|viagra|cialis|pharma|replica|payday|warez|torrent|torrents|crack|cracked|keygen)[-._/&=:]') THEN 'block'
+    WHEN regexp_matches(path, '^/.*[.]([jJ][pP][gG]|[jJ][pP][eE][gG]|[pP][nN][gG]|[gG][iI][fF]|[sS][vV][gG]|[iI][cC][oO]|[wW][eE][bB][pP]|[cC][sS][sS]|[jJ][sS]|[wW][oO][fF][fF]|[mM][pP][34]|[aA][vV][iI]|[mM][oO][vV]|[zZ][iI][pP]|[gG][zZ]|[rR][aA][rR]|7[zZ]|[eE][xX][eE]|[dD][mM][gG]|[iI][sS][oO]|[aA][pP][kK])$', 's') THEN 'block'
+    WHEN path LIKE '/%' AND regexp_matches(query, '(^|&)([sS][eE][sS][sS][iI][oO][nN][iI][dD]|[pP][hH][pP][sS][eE][sS][sS][iI][dD]|[jJ][sS][eE][sS][sS][iI][oO][nN][iI][dD]|[sS][iI][dD])=') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM v
 """

@@ -7,7 +7,7 @@ together: from the leaves up, the best labelling of each subtree as all article,
 best labellings; from the root down, the best one is read off. A node of the article so has no part outside it, and no
 node outside the article has a part within it. Text directly in a node with parts is a part of its own.
 
-The model is trained on TRAIN_PAGES made-up pages (pagemaker.py) from fixed seeds, once for each driver process; no rows
+The model is trained on TRAIN_PAGES made-up pages and a third as many bare ones (pagemaker.py) from fixed seeds, once for each driver process; no rows
 of the corpus are used. Pages are mapped over Arrow batches, without a shuffle.
 
 Nulls: a null or empty page has the empty text. Repeated rows are read one by one. An empty table gives an empty result.
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from . import boosting, dom
 from .common import map_batches
-from .pagemaker import NAMES, make_page
+from .pagemaker import NAMES, make_bare, make_page
 
 TRAIN_PAGES = 360
+#: Beside so many made-up pages there is one of little layout.
+BARE_SHARE = 3
 ROUNDS = 16
 #: Text that is read together, in characters.
 BLOCK_CHARS = 1_000_000
@@ -213,8 +215,8 @@ def _labels(tree: Tree, page: dom.Page) -> tuple[np.ndarray, np.ndarray]:
 @cache
 def model(pages: int = TRAIN_PAGES, rounds: int = ROUNDS) -> boosting.Trees:
     xs, ys = [], []
-    for seed in range(pages):
-        page = dom.read(make_page(seed)[0])
+    for html, _ in [*map(make_page, range(pages)), *map(make_bare, range(pages // BARE_SHARE))]:
+        page = dom.read(html)
         tree = Tree(page)
         y, known = _labels(tree, page)
         xs.append(tree.features(page)[known])

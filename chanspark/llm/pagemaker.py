@@ -247,3 +247,56 @@ def make_page(seed: int) -> tuple[str, str]:
         m.part(p)
     m.html.append("</body></html>" if r.random() < 0.9 else "")
     return "".join(m.html), " ".join(m.main)
+
+
+def make_bare(seed: int) -> tuple[str, str]:
+    """A page of little layout and its main text: plain text, paragraphs right in the body, a single block, or cells of a
+    table in which a menu and the article stand side by side."""
+    m = Maker(random.Random(f"bare {seed}"))
+    r = m.rng
+    kind = r.choice(("text", "paragraphs", "paragraphs", "block", "lines", "cells"))
+    head = r.choice(("", "<html><body>", f"<html><head><title>{m.words(1, 6)}</title></head><body>", f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{m.words(1, 6)}</title></head><body>"))
+    m.html.append(head)
+    if kind == "text":
+        m.put(m.prose(r.choice((1, 2, 6))), True)
+    elif kind == "lines":
+        tag = r.choice(("", "center", "font", "pre"))
+        m.html.append(f"<{tag}>" * bool(tag))
+        for _ in range(r.randint(1, 8)):
+            m.put(m.prose(3), True)
+            m.html.append(r.choice(("<br>", "<br><br>", "<hr>", "<br/>")))
+        m.html.append(f"</{tag}>" * bool(tag))
+    elif kind == "cells":
+        m.html.append("<table><tr>")
+        sides = ["menu", "article"] if r.random() < 0.7 else ["article", "menu"]
+        for side in sides:
+            m.html.append(r.choice(("<td>", '<td valign="top">', '<td width="20%">')))
+            if side == "menu":
+                for _ in range(r.randint(3, 9)):
+                    m.html.append(f'<a href="/{m.word()}">{m.outside(1, 3)}</a><br>')
+            else:
+                if r.random() < 0.6:
+                    m.block(r.choice(("h1", "h2")), m.words(1, 8), True)
+                for _ in range(r.randint(1, 8)):
+                    m.block("p", m.prose(r.choice((1, 3, 8))), True)
+            m.html.append("</td>")
+        m.html.append("</tr></table>")
+    else:
+        boxed = kind == "block"
+        tag = r.choice(("div", "div", "section", "main"))
+        m.html.append(f"<{tag}>" if boxed else "")
+        if r.random() < 0.6:
+            m.block(r.choice(("h1", "h1", "h2")), m.words(1, 10), True)
+        for _ in range(r.choice((1, 1, 2, 4, 9))):
+            if r.random() < 0.85:
+                m.block("p", m.prose(r.choice((1, 1, 3, 8))), True)
+            else:
+                m.html.append("<ul>")
+                for _ in range(r.randint(2, 5)):
+                    m.block("li", m.words(1, 8), True)
+                m.html.append("</ul>")
+        m.html.append(f"</{tag}>" if boxed else "")
+        if r.random() < 0.25:
+            m.part("menu" if r.random() < 0.5 else "footer")
+    m.html.append("</body></html>" if head and r.random() < 0.8 else "")
+    return "".join(m.html), " ".join(m.main)

@@ -14,7 +14,7 @@ from chanspark.llm.decontaminate import decontaminate, keep_clean
 from chanspark.llm.extract import main_text
 from chanspark.llm.language import identify, train
 from chanspark.llm.packing import pack
-from chanspark.llm.pagemaker import make_page
+from chanspark.llm.pagemaker import make_bare, make_page
 from chanspark.llm.quality import keep_good, quality
 from chanspark.llm.secrets import find_secrets, redact
 from chanspark.llm.simhash import keep_one, near_duplicates
@@ -22,6 +22,7 @@ from chanspark.llm.tokenizer import ByteEncoder, PieceCounter, default_path, tok
 from chanspark.llm.urls import FILTERS, RULES, filter_urls
 
 from .helpers import LONG, PROSE, ROWS, components, docs, fingerprint, same_as_sql, windows_hit
+from .pages import PAGES
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,13 +73,28 @@ def test_language_is_exact(spark):
         assert np.allclose(model.lengths([text])[0], want, rtol=1e-5)
 
 
-def test_main_text_of_made_up_pages():
+@pytest.mark.parametrize("make", [make_page, make_bare])
+def test_main_text_of_made_up_pages(make):
     trees = extract.model()
-    pages = [make_page(seed) for seed in range(5000, 5150)]
+    pages = [make(seed) for seed in range(5000, 5150)]
     got = extract.main_texts([h for h, _ in pages], trees)
     assert np.mean([a == " ".join(b.split()) for a, (_, b) in zip(got, pages, strict=True)]) >= 0.95
 
 
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text_of_pages_by_hand(name):
+    html, text = PAGES[name]
+    assert extract.main_texts([html], extract.model()) == [text]
+
+
+def test_main_text_of_a_table():
+    """Pages of the test table have an element article of their own: all else is menu, advert or footer."""
+    pages = [h for (h,) in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    want = [" ".join(dom.plain_text(m[1]).split()) if h and (m := re.search("<article>(.*)</article>", h, re.S)) else "" for h in pages]
+    got = extract.main_texts(pages, extract.model())
+    assert np.mean([a == b for a, b in zip(got, want, strict=True)]) >= 0.99
+
+
 def test_main_text(spark):
     html = '<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">More</a></li></ul></nav><article><h1>Title &amp; more</h1><p>First  <b>bold</b> text,\n it goes on and on.</p><p>Second &lt;one&gt;, with a few more words.<br>Third.</article><footer>&copy; me</footer></body></html>'
     rows = [(1, "u", html), (1, "u", html), (2, None, None), (3, "u", ""), (4, "u", "<"), (5, "u", "<div>" * 30_000 + "deep"), (6, "u", "<p>" + "word " * 300_000)]

@@ -2,9 +2,15 @@
 
 A chunk is a stretch of text that a tokenizer treats on its own: for both vocabularies here, a single space between two
 characters that are no white space always begins a new one. Counting (or encoding) each distinct chunk once and joining
-that to a document's chunk frequencies gives exactly what the library gives for the whole text. The join happens inside
-each task, against a dictionary of bounded size; a global one would shuffle every distinct pair of document and chunk,
-which is more than the texts themselves.
+that to a document's chunk frequencies gives exactly what the library gives for the whole text.
+
+Counting does so by tables. A first pass over the texts gives the distinct words and in how many texts each is; the pieces
+of each are counted once. A second pass gives each document's words with their frequencies, which are joined with
+these counts and summed; no ids are made. Words that many texts share (the most frequent, MAX_HEAD at most) are broadcast,
+so their pairs never leave their task and no word is a hot key of a shuffle; only pairs with rarer words are shuffled.
+Words of more than MAX_CHUNK characters are counted where they stand, as they hardly ever recur.
+
+Encoding (for packing) joins inside each task, against a dictionary of bounded size, as it needs the ids in their order.
 """
 
 from __future__ import annotations
@@ -20,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import cut, map_arrow
 
+#: Words that are broadcast at most, with their counts (about 100 bytes each).
+MAX_HEAD = 200_000
 #: Entries of a worker's dictionary, and the longest chunk (in characters) that may enter it: about 200 bytes each.
 MAX_ENTRIES = 300_000
 MAX_CHUNK = 48
@@ -49,23 +57,17 @@ class PieceCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces) and self.model.encode("a", out_type=str)[0].startswith("▁")
-        self.known: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
-        if not self.splits:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        tables = [Counter(self.words(t)) for t in texts]
-        new = list(set().union(*tables).difference(self.known)) if tables else []
-        counts = dict(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True)) if new else {}
-        if "" in counts:  # a space at the end of the text, with no word of its own
-            counts[""] = len(self.model.encode("a ")) - len(self.model.encode("a"))
-        known = self.known
-        look = lambda w: known[w] if w in known else counts[w]
-        totals = [sum(n * look(w) for w, n in table.items()) for table in tables]
-        room = MAX_ENTRIES - len(known)
-        known.update((w, counts[w]) for w in [w for w in new if len(w) <= MAX_CHUNK][: max(0, room)])
-        return totals
+        """Tokens of whole texts."""
+        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+
+    def count_words(self, words: list[str]) -> list[int]:
+        """Tokens of words as words() gives them; the empty one is a space at the end of a text, with no word of its own."""
+        counts = self.count(words)
+        if "" in words:
+            counts = [c if w else len(self.model.encode("a ")) - len(self.model.encode("a")) for w, c in zip(words, counts, strict=True)]
+        return counts
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -186,23 +188,115 @@ def blocks(texts: list[str | None]) -> Iterator[list[str]]:
         yield block
 
 
+def _piece_words(texts: list[str]) -> Iterator[Counter]:
+    """The words of each text and how often they occur."""
+    return (Counter(PieceCounter.words(t)) for t in texts)
+
+
+def vocabulary(texts: DataFrame, path: str) -> DataFrame:
+    """The words of up to MAX_CHUNK characters of a column t: in how many texts each is, and its tokens."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0).to_pylist()):
+                found: Counter = Counter()
+                for words in _piece_words(block):
+                    found.update(words.keys())
+                short = [w for w in found if len(w) <= MAX_CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([found[w] for w in short], pa.int64())], names=["word", "texts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = load(PieceCounter, path)
+        for batch in batches:
+            n = counter.count_words(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["word", "texts", "pieces"])
+
+    words = map_arrow(texts.select("t"), find, "word string, texts long").groupBy("word").agg(F.sum("texts").alias("texts"))
+    return map_arrow(words, count, "word string, texts long, pieces long")
+
+
+def _split(words: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent words, MAX_HEAD at most, and the others (None if there are none). By powers of two of the number
+    of texts, of which there are 64 at most."""
+    power = F.floor(F.log2("texts")).cast("int")
+    sizes = {r["p"]: r["n"] for r in words.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = 64, 0
+    for p in sorted(sizes, reverse=True):
+        total += sizes[p]
+        if total > MAX_HEAD:
+            break
+        least = p
+    if total <= MAX_HEAD:
+        return words, None
+    return words.where(power >= least), words.where(power < least)
+
+
+def frequencies(texts: DataFrame, path: str) -> DataFrame:
+    """A row for each row and word of up to MAX_CHUNK characters, with its frequency n; columns other than t stay. Each row's
+    longer words are counted here: their tokens are the column direct of one row without a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = load(PieceCounter, path)
+        for batch in batches:
+            at, column = 0, batch.schema.get_field_index("t")
+            for block in blocks(batch.column(column).to_pylist()):
+                words, counts, direct = [], [], []
+                for found in _piece_words(block):
+                    if long := [w for w in found if len(w) > MAX_CHUNK]:
+                        direct.append(sum(found.pop(w) * c for w, c in zip(long, counter.count_words(long), strict=True)))
+                    else:
+                        direct.append(0)
+                    words.append(list(found)), counts.append(list(found.values()))
+                own = batch.slice(at, len(block)).drop_columns(["t"])
+                at += len(block)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(direct, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=[*own.schema.names, "direct", "words", "counts"])
+
+    kept = [f for f in texts.schema if f.name != "t"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    wide = map_arrow(texts, run, f"{schema}, direct long, words array<string>, counts array<int>")
+    pair = F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"))), F.transform("words", lambda w, k: F.struct(w.alias("word"), F.get(F.col("counts"), k).alias("n")))))
+    own = [f.name for f in kept]
+    return wide.select(*own, "direct", pair.alias("x")).select(*own, F.when(F.col("x.word").isNull(), F.col("direct")).otherwise(0).alias("direct"), "x.word", "x.n")
+
+
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, limit: int = 4096) -> DataFrame:
     """Per row: id, UTF-8 bytes, sentencepiece tokens, and whether these exceed the limit.
 
-    A null or empty text has no bytes and no tokens. Repeated rows are counted one by one. No shuffle takes place.
+    A null or empty text has no bytes and no tokens. Repeated rows are counted one by one.
     """
     path = path or default_path("piece_bpe_32k.model")
+    whole = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("n_bytes", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))
+    if not load(PieceCounter, path).splits:  # a vocabulary whose pieces reach across words
+        counted = _whole(whole, path)
+    else:
+        words = cut(vocabulary(whole, path))
+        head, tail = _split(words)
+        # Number of the row, as ids may repeat; it only has to hold from here to the sum.
+        pairs = frequencies(whole.withColumn("row", F.monotonically_increasing_id()), path)
+        own = ["row", "id", "n_bytes"]
+        pairs = pairs.join(F.broadcast(head.select("word", "pieces")), "word", "left")
+        known = F.col("direct") + F.coalesce(F.col("pieces") * F.col("n"), F.lit(0))
+        if tail is None:
+            counted = pairs.groupBy(*own).agg(F.sum(known).alias("n_tokens"))
+        else:
+            # A document's known words become one row before anything is shuffled; that row gets a key of its own.
+            rare = F.when(F.col("pieces").isNull(), F.col("word"))
+            pairs = pairs.groupBy(*own, rare.alias("rare")).agg(F.sum(known).alias("known"), F.sum("n").alias("n"))
+            tail = tail.select("word", "pieces")
+            met = pairs.join(tail, F.coalesce("rare", F.concat(F.lit("\0 "), F.col("row").cast("string"))) == F.col("word"), "left")
+            counted = met.groupBy(*own).agg(F.sum(F.col("known") + F.coalesce(F.col("pieces") * F.col("n"), F.lit(0))).alias("n_tokens"))
+    return counted.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
+
+def _whole(texts: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(PieceCounter, path)
         for batch in batches:
             n = [c for block in blocks(batch.column(1).to_pylist()) for c in counter.count(block)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    whole = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("n_bytes", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))
-    counted = map_arrow(whole, run, f"id {kind}, n_bytes long, n_tokens long")
-    return counted.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    kind = texts.schema["id"].dataType.simpleString()
+    return map_arrow(texts, run, f"id {kind}, n_bytes long, n_tokens long")
 
 
 def crc32(ids: bytes) -> int:

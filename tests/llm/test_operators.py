@@ -164,11 +164,20 @@ def odd_texts():
     return ["".join(rng.choices(ALPHABET, k=rng.randint(0, 14))) for _ in range(5000)] + [t or "" for _, t, *_ in ROWS]
 
 
-def test_token_counts(spark, odd_texts):
+@pytest.mark.parametrize("head", [None, 0, 5])
+def test_token_counts(spark, odd_texts, monkeypatch, head):
+    """With all words broadcast, none, and a few."""
     import sentencepiece
 
+    if head is not None:
+        monkeypatch.setattr("chanspark.llm.tokenizer.MAX_HEAD", head)
     model = sentencepiece.SentencePieceProcessor(model_file=default_path("piece_bpe_32k.model"))
-    assert PieceCounter(default_path("piece_bpe_32k.model")).count(odd_texts) == [len(x) for x in model.encode(odd_texts)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(odd_texts)]
+    rows += [(10**6 + k, "x" * k + " the" * k + " " + "word " * 3, None, None) for k in range(40, 60)]
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for (d, t, *_), n in zip(rows, map(len, model.encode([t for _, t, *_ in rows])), strict=True):
+        assert got[d] == (len(t.encode()), n, n > 4096), repr(t)
     got = sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs(spark)).collect())
     assert got == sorted((len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for _, t, *_ in ROWS)
     assert token_counts(docs(spark, [])).count() == 0

@@ -4,11 +4,11 @@ A chunk is a stretch of text that a tokenizer treats on its own: for both vocabu
 characters that are no white space always begins a new one. Counting (or encoding) each distinct chunk once and joining
 that to a document's chunk frequencies gives exactly what the library gives for the whole text.
 
-Counting does so by tables. A first pass over the texts gives the distinct words and in how many texts each is; the pieces
-of each are counted once. A second pass gives each document's words with their frequencies, which are joined with
-these counts and summed; no ids are made. Words that many texts share (the most frequent, MAX_HEAD at most) are broadcast,
-so their pairs never leave their task and no word is a hot key of a shuffle; only pairs with rarer words are shuffled.
-Words of more than MAX_CHUNK characters are counted where they stand, as they hardly ever recur.
+Counting does so by tables. A first pass over the texts finds the words that recur; the most frequent, MAX_HEAD at most,
+are counted once each and broadcast, so their frequencies are joined where the texts are and no word is a hot key of a
+shuffle. A second pass gives each document's words with their frequencies. The pairs with all other words are shuffled by
+word; there each distinct word is counted once and joined to its frequencies, and the sums go back by document. No ids are
+made. Words of more than MAX_CHUNK characters are counted where they stand, as they hardly ever recur.
 
 Encoding (for packing) joins inside each task, against a dictionary of bounded size, as it needs the ids in their order.
 """
@@ -23,12 +23,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
 
-#: Words that are broadcast at most, with their counts (about 100 bytes each).
+#: Words that are broadcast at most, with their counts (about 150 bytes each in a worker).
 MAX_HEAD = 200_000
 #: Entries of a worker's dictionary, and the longest chunk (in characters) that may enter it: about 200 bytes each.
 MAX_ENTRIES = 300_000
@@ -193,70 +195,64 @@ def _piece_words(texts: list[str]) -> Iterator[Counter]:
     return (Counter(PieceCounter.words(t)) for t in texts)
 
 
-def vocabulary(texts: DataFrame, path: str) -> DataFrame:
-    """The words of up to MAX_CHUNK characters of a column t: in how many texts each is, and its tokens."""
+def recurring(texts: DataFrame) -> DataFrame:
+    """Words of up to MAX_CHUNK characters of a column t that two texts of a block share, and how many texts of such blocks have
+    them. What is missed is rare: it is in one text of a block at most."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0).to_pylist()):
                 found: Counter = Counter()
                 for words in _piece_words(block):
                     found.update(words.keys())
-                short = [w for w in found if len(w) <= MAX_CHUNK]
-                yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([found[w] for w in short], pa.int64())], names=["word", "texts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = load(PieceCounter, path)
-        for batch in batches:
-            n = counter.count_words(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["word", "texts", "pieces"])
+                shared = [w for w, n in found.items() if n > 1 and len(w) <= MAX_CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(shared, pa.string()), pa.array([found[w] for w in shared], pa.int64())], names=["word", "texts"])
 
-    words = map_arrow(texts.select("t"), find, "word string, texts long").groupBy("word").agg(F.sum("texts").alias("texts"))
-    return map_arrow(words, count, "word string, texts long, pieces long")
+    return map_arrow(texts.select("t"), run, "word string, texts long").groupBy("word").agg(F.sum("texts").alias("texts"))
 
 
-def _split(words: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The most frequent words, MAX_HEAD at most, and the others (None if there are none). By powers of two of the number
-    of texts, of which there are 64 at most."""
+def most_frequent(words: DataFrame) -> list[str]:
+    """The words that are in the most texts, MAX_HEAD at most: all that are in at least a power of two of texts, for the
+    least power that keeps the bound."""
     power = F.floor(F.log2("texts")).cast("int")
-    sizes = {r["p"]: r["n"] for r in words.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["p"]: r["n"] for r in words.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 64 at most
     least, total = 64, 0
     for p in sorted(sizes, reverse=True):
         total += sizes[p]
         if total > MAX_HEAD:
             break
         least = p
-    if total <= MAX_HEAD:
-        return words, None
-    return words.where(power >= least), words.where(power < least)
+    return [r["word"] for r in words.where(power >= least).select("word").collect()]
 
 
-def frequencies(texts: DataFrame, path: str) -> DataFrame:
-    """A row for each row and word of up to MAX_CHUNK characters, with its frequency n; columns other than t stay. Each row's
-    longer words are counted here: their tokens are the column direct of one row without a word."""
+def frequencies(texts: DataFrame, known: Broadcast, path: str) -> DataFrame:
+    """For each row (row, id, n_bytes, t): one row without a word, with the tokens of its known and long words, and one for
+    each other word, with its frequency n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = load(PieceCounter, path)
+        counter, head = load(PieceCounter, path), known.value
         for batch in batches:
-            at, column = 0, batch.schema.get_field_index("t")
-            for block in blocks(batch.column(column).to_pylist()):
-                words, counts, direct = [], [], []
-                for found in _piece_words(block):
-                    if long := [w for w in found if len(w) > MAX_CHUNK]:
-                        direct.append(sum(found.pop(w) * c for w, c in zip(long, counter.count_words(long), strict=True)))
-                    else:
-                        direct.append(0)
-                    words.append(list(found)), counts.append(list(found.values()))
-                own = batch.slice(at, len(block)).drop_columns(["t"])
+            at, row_ids, (row, key, size, _) = 0, batch.column(0).to_pylist(), [f.type for f in batch.schema]
+            for block in blocks(batch.column(3).to_pylist()):
+                tokens, rows, words, counts = [], [], [], []
+                for k, found in enumerate(_piece_words(block), at):
+                    total = 0
+                    for w, n in found.items():
+                        if w in head:
+                            total += n * head[w]
+                        elif len(w) > MAX_CHUNK:
+                            total += n * counter.count_words([w])[0]
+                        else:
+                            rows.append(row_ids[k]), words.append(w), counts.append(n)
+                    tokens.append(total)
+                own = batch.slice(at, len(block))
                 at += len(block)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(direct, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=[*own.schema.names, "direct", "words", "counts"])
+                columns = [own.column(0), own.column(1), own.column(2), pa.array(tokens, pa.int64()), pa.nulls(len(block), pa.string()), pa.nulls(len(block), pa.int64())]
+                others = [pa.array(rows, row), pa.nulls(len(rows), key), pa.nulls(len(rows), size), pa.nulls(len(rows), pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())]
+                for some in (columns, others):
+                    yield pa.RecordBatch.from_arrays(some, names=["row", "id", "n_bytes", "tokens", "word", "n"])
 
-    kept = [f for f in texts.schema if f.name != "t"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    wide = map_arrow(texts, run, f"{schema}, direct long, words array<string>, counts array<int>")
-    pair = F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("n"))), F.transform("words", lambda w, k: F.struct(w.alias("word"), F.get(F.col("counts"), k).alias("n")))))
-    own = [f.name for f in kept]
-    return wide.select(*own, "direct", pair.alias("x")).select(*own, F.when(F.col("x.word").isNull(), F.col("direct")).otherwise(0).alias("direct"), "x.word", "x.n")
+    return map_arrow(texts.select("row", "id", "n_bytes", "t"), run, f"row long, id {texts.schema['id'].dataType.simpleString()}, n_bytes long, tokens long, word string, n long")
 
 
 def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, limit: int = 4096) -> DataFrame:
@@ -265,26 +261,31 @@ def token_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", path:
     A null or empty text has no bytes and no tokens. Repeated rows are counted one by one.
     """
     path = path or default_path("piece_bpe_32k.model")
+    counter = load(PieceCounter, path)
     whole = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("n_bytes", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long"))
-    if not load(PieceCounter, path).splits:  # a vocabulary whose pieces reach across words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = load(PieceCounter, path)
+        for batch in batches:
+            # Sorted by word: each is counted once, or twice where a batch ends within its rows.
+            words = batch.column(4).dictionary_encode()
+            n = counter.count_words(words.dictionary.to_pylist())
+            pieces = pa.array(n, pa.int64()).take(words.indices)
+            tokens = pc.if_else(pc.is_null(words), batch.column(3), pc.multiply(pieces, batch.column(5)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tokens], names=["row", "id", "n_bytes", "tokens"])
+
+    if counter.splits:
+        head = most_frequent(cut(recurring(whole)))
+        known = docs.sparkSession.sparkContext.broadcast(dict(zip(head, counter.count_words(head), strict=True)))
+        # A number for each row, as ids may repeat. It holds from here to the sum; rows without a word are spread by it.
+        pairs = frequencies(whole.withColumn("row", F.monotonically_increasing_id()), known, path)
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.repartition(parts, F.coalesce("word", F.col("row").cast("string"))).sortWithinPartitions("word")
+        kind = whole.schema["id"].dataType.simpleString()
+        summed = map_arrow(pairs, count, f"row long, id {kind}, n_bytes long, tokens long")
+        counted = summed.groupBy("row").agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+    else:  # a vocabulary whose pieces reach across words
         counted = _whole(whole, path)
-    else:
-        words = cut(vocabulary(whole, path))
-        head, tail = _split(words)
-        # Number of the row, as ids may repeat; it only has to hold from here to the sum.
-        pairs = frequencies(whole.withColumn("row", F.monotonically_increasing_id()), path)
-        own = ["row", "id", "n_bytes"]
-        pairs = pairs.join(F.broadcast(head.select("word", "pieces")), "word", "left")
-        known = F.col("direct") + F.coalesce(F.col("pieces") * F.col("n"), F.lit(0))
-        if tail is None:
-            counted = pairs.groupBy(*own).agg(F.sum(known).alias("n_tokens"))
-        else:
-            # A document's known words become one row before anything is shuffled; that row gets a key of its own.
-            rare = F.when(F.col("pieces").isNull(), F.col("word"))
-            pairs = pairs.groupBy(*own, rare.alias("rare")).agg(F.sum(known).alias("known"), F.sum("n").alias("n"))
-            tail = tail.select("word", "pieces")
-            met = pairs.join(tail, F.coalesce("rare", F.concat(F.lit("\0 "), F.col("row").cast("string"))) == F.col("word"), "left")
-            counted = met.groupBy(*own).agg(F.sum(F.col("known") + F.coalesce(F.col("pieces") * F.col("n"), F.lit(0))).alias("n_tokens"))
     return counted.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -188,7 +188,16 @@ def test_encoder(odd_texts):
 
     model = tokenizers.Tokenizer.from_file(default_path("byte_bpe_50k.json"))
     want = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(odd_texts, add_special_tokens=False)]
-    assert ByteEncoder(default_path("byte_bpe_50k.json")).encode(odd_texts) == want
+    encoder = ByteEncoder(default_path("byte_bpe_50k.json"))
+    assert encoder.encode(odd_texts) == want
+    # Every seventh code point, beside letters, digits, itself and white space; and runs that never break.
+    points = [chr(c) for c in range(3, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b{c} {c}{c} 1{c}.{c}  {c}" for c in points] + [c * 50_000 for c in ("a", " ", "-", "\n", "中")]
+    for at in range(0, len(texts), 20_000):
+        some = texts[at : at + 20_000]
+        assert encoder.encode(some) == [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(some, add_special_tokens=False)]
+    with pytest.raises(ValueError):
+        ByteEncoder(default_path("word_bpe_49k.json"))
 
 
 def test_packing_gives_every_id_back(spark):

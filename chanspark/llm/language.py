@@ -33,6 +33,8 @@ from .common import map_arrow
 ORDER = 3
 SAMPLE_ROWS = 256
 SAMPLE_BYTES = 1 << 20
+#: Labels that are learnt at most, the most frequent ones (then by name): a model is about 1 MB for each.
+MAX_LANGS = 500
 UNKNOWN = "und"
 _PAD = b" " * ORDER
 _LETTER = regex.compile(r"\p{L}")
@@ -171,14 +173,14 @@ class Model:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, key: str) -> list[tuple[str, str]]:
-    """The texts to learn from: at most SAMPLE_ROWS and about SAMPLE_BYTES for each language, at least one."""
+    """The texts to learn from: at most SAMPLE_ROWS and about SAMPLE_BYTES for each of MAX_LANGS languages, at least one."""
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("t"), F.xxhash64(F.col(f"`{key}`").cast("string")).alias("h"))
     rows = rows.where("lang IS NOT NULL AND t IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return []
     rates = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 2 * SAMPLE_ROWS / n)))])
-    some = rows.where(F.pmod("h", F.lit(1_000_000)) < rates[F.col("lang")] * 1_000_000)
+    some = rows.where(F.col("lang").isin(*counts)).where(F.pmod("h", F.lit(1_000_000)) < rates[F.col("lang")] * 1_000_000)
     one = some.groupBy("lang", F.xxhash64("t").alias("copy")).agg(F.min_by("t", "h").alias("t"), F.min("h").alias("h"))
     order = Window.partitionBy("lang").orderBy("h")
     ranked = one.withColumns({"n": F.row_number().over(order), "size": F.sum(F.octet_length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0))})

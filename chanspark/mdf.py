@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 from collections.abc import Iterable
@@ -26,8 +27,9 @@ CODECS = {"snappy": "snappy", "gzip": "gzip", "lzo": "lzo", "brotli": "brotli",
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format "mdf" known to the session."""
+    """Makes the format "mdf" known to the session, which may then push filters down to it."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MdfDataSource)
 
 
@@ -153,6 +155,37 @@ class MdfFile:
         """Channels of one table, in that order."""
         return self.group(names[0], channels=names, raw=raw).select(*map(q, names))
 
+    def window(self, of: str, low: float | None = None, high: float | None = None, **options) -> DataFrame:
+        """The rows of a channel's table whose master is in low to high, both included. With an increasing linear conversion
+        (or none) the bounds are taken back to raw values, so only these rows are read."""
+        table = self.meta.table_of(of)
+        name = table.master.name if table.master else None
+        if name is None:
+            raise ValueError(f"{of!r} has no master")
+        number = next(k for k, t in enumerate(self.meta.tables()) if t.index == table.index)
+        df = self.table(number, raw=True, **options)
+        c = table.master.conversion
+        values = c.values if c is not None and c.kind == (1 if c.version == 4 else 0) else [0.0, 1.0] if c is None else []
+        for bound, lower in ((low, True), (high, False)):
+            if bound is not None and len(values) >= 2 and values[1] > 0:
+                # Loosened by more than rounding can be off; the physical values decide below.
+                raw = (bound - values[0]) / values[1]
+                slack = 1e-9 * (abs(raw) + abs(bound / values[1]) + abs(values[0] / values[1]))
+                edge = F.lit(float(raw - slack if lower else raw + slack)).cast("double")
+                kind = df.schema[name].dataType
+                if isinstance(kind, T.IntegralType):
+                    whole = math.floor(raw - slack) if lower else math.ceil(raw + slack)
+                    if abs(whole) >= 1 << 63:
+                        continue
+                    edge = F.lit(whole).cast(kind) if abs(whole) < 1 << (8 * {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}[kind.simpleString()] - 1) else None
+                if edge is not None:
+                    df = df.where(q(name) >= edge if lower else q(name) <= edge)
+        df = physical(df, table)
+        for bound, lower in ((low, True), (high, False)):
+            if bound is not None:
+                df = df.where(q(name) >= bound if lower else q(name) <= bound)
+        return df if options.get("rows") else df.drop(ROW)
+
     # Exports
 
     def export_parquet(self, folder: str, compression: str | None = None, only: str | None = None) -> list[str]:

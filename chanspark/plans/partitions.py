@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import BinaryIO
 
 import numpy as np
@@ -32,9 +32,9 @@ class RowRange:
 class Stream:
     """A chain of segments as one stream of bytes; compressed segments are opened when touched, one at a time."""
 
-    def __init__(self, f: BinaryIO, segments: list[Segment]):
+    def __init__(self, f: BinaryIO, segments: list[Segment], base: int = 0):
         self.f, self.segments = f, segments
-        self.starts = [0]
+        self.starts = [base]
         for s in segments:
             self.starts.append(self.starts[-1] + s.size)
         self.size = self.starts[-1]
@@ -73,11 +73,44 @@ class Stream:
         return parts[0] if len(parts) == 1 else b"".join(parts)
 
 
-def row_ranges(path: str, version: int, table: Table, channels: list[str], first: int, target: int = PARTITION_BYTES) -> Iterator[RowRange]:
-    """A table cut into row ranges; unsorted data, which has no fixed places, is one range."""
+class Cutter:
+    """Parts of a chain of segments by bytes; the chain is added up once."""
+
+    def __init__(self, segments: list[Segment]):
+        self.segments = segments
+        self.starts = [0]
+        for s in segments:
+            self.starts.append(self.starts[-1] + s.size)
+
+    def part(self, a: int, b: int) -> tuple[list[Segment], int]:
+        """The segments that hold bytes a to b, and where the first of them starts."""
+        if a >= b or not self.segments:
+            return [], 0
+        first, last = max(0, bisect_right(self.starts, a) - 1), bisect_left(self.starts, b)
+        return self.segments[first:last], self.starts[min(first, len(self.starts) - 1)]
+
+
+def row_ranges(path: str, version: int, table: Table, channels: list[str], first: int, target: int = PARTITION_BYTES, low: int = 0, high: int | None = None) -> Iterator[RowRange]:
+    """Rows low to high of a table cut into row ranges; unsorted data, which has no fixed places, is one range.
+
+    A range carries only the channels it decodes and the segments its rows are in, so all ranges together are no larger than
+    the file's metadata, however many there are. Values of variable length may be anywhere in their own stream, which stays whole.
+    """
     used = [g for g in table.groups if any(c.name in channels for c in g.channels)] or table.groups[:1]
     width = sum(max(1, g.record_size) for g in used)
     rows = table.rows
-    step = rows if not all(g.sorted for g in used) else max(1, target // max(1, width))
-    for start in range(0, rows, max(1, step)):
-        yield RowRange(path, version, table, channels, start, min(rows, start + step), first + start)
+    fixed = all(g.sorted for g in used)
+    if not fixed:
+        if rows:
+            yield RowRange(path, version, table, channels, 0, rows, first)
+        return
+    step = max(1, target // max(1, width))
+    lean = [replace(g, channels=[c for c in g.channels if c.name in channels]) for g in used]
+    cutters = [(Cutter(g.stream), Cutter(g.invalid)) for g in lean]
+    for start in range(low, rows if high is None else min(rows, high), step):
+        stop = min(rows if high is None else min(rows, high), start + step)
+        groups = []
+        for g, (stream, invalid) in zip(lean, cutters, strict=True):
+            (own, base), (marks, marks_base) = stream.part(start * g.record_size, stop * g.record_size), invalid.part(start * g.inval_bytes, stop * g.inval_bytes)
+            groups.append(replace(g, stream=own, stream_base=base, invalid=marks, invalid_base=marks_base))
+        yield RowRange(path, version, replace(table, groups=groups), channels, start, stop, first + start)

@@ -5,6 +5,10 @@ Options: path (a file, folder or pattern), group (number of the table, 0 by defa
 files, in order of their names. Files of one path must have the same channels in that table; a channel that one of them
 lacks is null there. Metadata are read on the driver, data by the tasks: each opens the file itself and reads its rows' bytes.
 
+Comparisons of _row, or of the raw values of a table's master, with numbers are pushed down: only row ranges that can hold
+such rows are planned. For the master they are found by bisection, a few records each; the format has masters ascend. Where a
+file may break that, the option masterSorted=false leaves it out.
+
 Writing ("append" or "overwrite" of a folder): each task streams its rows into one MDF 4.2 file of its own; the driver
 moves the finished files into place, so a task that is run again leaves nothing behind.
 """
@@ -12,16 +16,18 @@ moves the finished files into place, so a task that is run again leaves nothing
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from ..plans.partitions import PARTITION_BYTES, RowRange, row_ranges
-from .decode import ROW, arrow_type, read_rows
-from .files import listed
+from .decode import ROW, GroupReader, arrow_type, read_rows
+from .files import listed, open_input
 from .model import Channel, Meta, Table
 from .read import read_meta
 
@@ -60,6 +66,38 @@ class MdfReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.names = options, [f.name for f in schema]
         self.arrow = to_arrow_schema(schema)
+        self.bounds: dict[str, list[tuple[str, float]]] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Notes bounds of columns; Spark still applies every filter itself."""
+        kinds = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        for f in filters:
+            if type(f) in kinds and len(f.attribute) == 1 and isinstance(f.value, (int, float)) and not isinstance(f.value, bool):
+                self.bounds.setdefault(f.attribute[0], []).append((kinds[type(f)], f.value))
+            yield f
+
+    def window(self, path: str, table: Table, first: int) -> tuple[int, int]:
+        """The rows of a file that the noted bounds leave: those outside cannot pass."""
+        low, high = 0, table.rows
+        for how, value in self.bounds.get(ROW, []):
+            if how in (">", ">=", "=="):
+                low = max(low, math.ceil(value) - first)
+            if how in ("<", "<=", "=="):
+                high = min(high, math.floor(value) + 1 - first)
+        group, master = table.groups[0], table.master
+        bounds = self.bounds.get(master.name, []) if master else []
+        if bounds and group.sorted and low < high and not master.virtual and str(self.options.get("mastersorted", "true")).lower() != "false":
+            with open_input(path) as f:
+                reader = GroupReader(f, group, {master.name})
+                at = lambda row: reader.columns(row, row + 1)[master.name][0].as_py()
+                ends = at(low), at(high - 1)
+                if all(isinstance(v, (int, float)) and v == v for v in ends) and ends[0] <= ends[1]:
+                    for how, value in bounds:
+                        if how in (">", ">=", "=="):
+                            low = max(low, bisect_left(range(table.rows), value, low, max(low, high), key=at))
+                        if how in ("<", "<=", "=="):
+                            high = min(high, bisect_right(range(table.rows), value, min(low, high), high, key=at))
+        return max(0, low), max(0, high)
 
     def partitions(self) -> list[MdfPartition]:
         out: list[MdfPartition] = []
@@ -68,7 +106,9 @@ class MdfReader(DataSourceReader):
             meta = read_meta(path)
             table = pick(meta, self.options)
             own = [c.name for _, c in table.columns() if c.name in self.names]
-            out += [MdfPartition(r) for r in row_ranges(path, meta.version, table, own, first, target)]
+            low, high = self.window(path, table, first) if self.bounds else (0, table.rows)
+            if low < high:
+                out += [MdfPartition(r) for r in row_ranges(path, meta.version, table, own, first, target, low, high)]
             first += table.rows
         return out
 

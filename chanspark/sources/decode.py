@@ -175,7 +175,7 @@ class GroupReader:
     def __init__(self, f: BinaryIO, g: Group, names: set[str]):
         self.f, self.g = f, g
         self.channels = [c for c in g.channels if c.name in names]
-        self.data, self.invalid = Stream(f, g.stream), Stream(f, g.invalid)
+        self.data, self.invalid = Stream(f, g.stream, g.stream_base), Stream(f, g.invalid, g.invalid_base)
         self.values = {c.name: Stream(f, c.values) for c in self.channels if c.kind == 1 and c.values_group is None}
         self.spooled: list = []
 

@@ -92,6 +92,9 @@ class Group:
     channels: list[Channel] = field(default_factory=list)
     stream: list[Segment] = field(default_factory=list)
     invalid: list[Segment] = field(default_factory=list)
+    #: Bytes before the first of these segments, where earlier ones were left out.
+    stream_base: int = 0
+    invalid_base: int = 0
     columnar: bool = False
     sorted: bool = True
     #: Record ids of all groups of this data group: (size of a record, or None for variable length).

@@ -286,3 +286,51 @@ def test_folders_and_streams(spark, tmp_path):
     assert sorted(r["_row"] for r in df.collect()) == list(range(150))
     spark.range(7).coalesce(1).write.format("mdf").mode("overwrite").save(folder)
     assert spark.read.format("mdf").load(folder).count() == 7
+
+
+def test_pushed_filters_read_fewer_rows(spark, tmp_path):
+    """Bounds of the master and of the row number: as many rows as without push-down, from fewer partitions."""
+    n = 40_000
+    for layout, how in (("rows", False), ("rows", True), ("columns", False), ("columns", True)):
+        path = str(tmp_path / f"{layout}-{how}.mf4")
+        df = spark.range(n).select((F.col("id") * 0.25).alias("time"), F.col("id").alias("value"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("some"))
+        mdf.save(mdf.set_master(df.coalesce(1), "time"), path, layout, how)
+        load = lambda **o: spark.read.format("mdf").option("path", path).option("partitionBytes", 20_000).options(**o).load()  # noqa: E731, B023
+        everything = load()
+        whole = everything.rdd.getNumPartitions()
+        assert whole > 20 and everything.count() == n
+        for where, want in (("time >= 5000 and time < 5010", 40), ("time = 77.25", 1), ("time > 9999.5", 1), ("time < -1", 0), ("time > 1e9", 0), ("time <= 0", 1), ("_row >= 39990", 10), ("_row < 7 and time > 1", 2), ("_row = 5", 1)):
+            some = load().where(where)
+            assert some.count() == want, (layout, how, where)
+            assert some.rdd.getNumPartitions() <= 2 < load(masterSorted="false").where("time >= 5000 and time < 5010").rdd.getNumPartitions()
+        got = load().where("time between 1000 and 2000 and value % 2 = 0").orderBy("_row").collect()
+        assert [(r._row, r.time, r.value, r.some) for r in got] == [(k, k * 0.25, k, k if k % 3 == 0 else None) for k in range(4000, 8001, 2)]
+
+
+def test_window_by_physical_master(spark, tmp_path):
+    path = str(tmp_path / "w.mf4")
+    records = b"".join(struct.pack("<iq", k, k * k) for k in range(5000))
+    fields = [Field("t", 2, 32, 0, kind=2, sync=1, conversion=Conversion(4, 1, [10.0, 0.1])), Field("v", 2, 64, 4)]
+    one_group(path, fields, records, 12)
+    f = mdf.MdfFile(spark, path)
+    for low, high in ((50.0, 60.0), (None, 10.3), (509.7, None), (-5.0, 5.0), (10.1, 10.1), (1e300, None), (None, -1e300)):
+        want = [k * k for k in range(5000) if (low is None or k * 0.1 + 10.0 >= low) and (high is None or k * 0.1 + 10.0 <= high)]
+        assert sorted(r.v for r in f.window("v", low, high).collect()) == want
+    raw = spark.read.format("mdf").option("path", path).option("partitionBytes", 1200).load()
+    assert raw.where("t >= 400 and t <= 500").rdd.getNumPartitions() <= 2
+
+
+def test_ranges_carry_their_own_segments(tmp_path):
+    """All row ranges together are about as large as the metadata, not as their square."""
+    import pickle
+
+    from chanspark.plans.partitions import row_ranges
+    from chanspark.sources.model import Group, Table
+
+    def total(n):
+        g = Group(0, 0, n * 100, data_bytes=8, stream=[Segment(64 + k * 824, 800) for k in range(n)], channels=[Channel("a", data_type=2, bit_count=64)])
+        ranges = list(row_ranges("x", 410, Table(0, [g]), ["a"], 0, 800 * 10))
+        assert len(ranges) == n // 10 and all(len(r.table.groups[0].stream) == 10 and r.table.groups[0].stream_base == 800 * 10 * k for k, r in enumerate(ranges))
+        return sum(len(pickle.dumps(r)) for r in ranges)
+
+    assert total(4000) < 4.5 * total(1000)

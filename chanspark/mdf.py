@@ -6,8 +6,12 @@ import json
 import math
 import os
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,18 +193,26 @@ class MdfFile:
     # Exports
 
     def export_parquet(self, folder: str, compression: str | None = None, only: str | None = None) -> list[str]:
-        """A Parquet data set for each table (or that of a channel only), named by number and master."""
+        """A Parquet data set for each table (or that of a channel only), named by number and master. Beside unit and
+        description, each column's metadata (kept in the file's schema) have file_name and master_channel."""
         codec = CODECS[(compression or "none").lower()]
         base, out = os.path.splitext(os.path.basename(self.path.rstrip("/")))[0], []
         for k, t in enumerate(self.meta.tables()):
             if only is None or any(c.name == only for _, c in t.columns()):
                 tag = re.sub(r"\W+", "_", t.master.name if t.master else "no_master")
                 out.append(f"{folder.rstrip('/')}/{base}_{k}_{tag}.parquet")
-                self.table(k).write.option("compression", codec).mode("overwrite").parquet(out[-1])
+                df = self.table(k)
+                for f in df.schema:
+                    df = with_metadata(df, f.name, file_name=os.path.basename(self.path), master_channel=t.master.name if t.master else "")
+                df.write.option("compression", codec).mode("overwrite").parquet(out[-1])
         return out
 
     def export_hdf5(self, path: str, compression: str | None = None) -> None:
-        """One HDF5 file, a group for each table, filled in batches; needs h5py."""
+        """One HDF5 file, a group for each table, filled in Arrow batches, row range by row range; needs h5py.
+
+        Numbers, texts, fixed arrays of numbers and times (as nanoseconds) are written; a channel of another type is refused. Nulls
+        are NaN, 0 or the empty text, and true in a data set beside it with the ending _null.
+        """
         try:
             import h5py
         except ImportError as e:
@@ -208,22 +220,17 @@ class MdfFile:
         with h5py.File(path, "w") as out:
             for k, t in enumerate(self.meta.tables()):
                 g = out.create_group(f"{k}_{t.master.name if t.master else 'no_master'}".replace("/", "_"))
-                df = self.table(k, rows=True).orderBy(ROW).drop(ROW)
-                for name, f in ((f.name, f) for f in df.schema):
-                    if isinstance(f.dataType, T.NumericType) and not isinstance(f.dataType, T.DecimalType):
-                        d = g.create_dataset(name.replace("/", "_"), shape=(0,), maxshape=(None,), chunks=True, dtype={"tinyint": "i1", "smallint": "i2", "int": "i4", "bigint": "i8", "float": "f4", "double": "f8"}[f.dataType.simpleString()], compression=compression)
-                        for key in ("unit", "description", "sync_type"):
-                            d.attrs[key] = f.metadata.get(key, "")
-                        for batch in _partitions(df.select(q(name))):
-                            d.resize(len(d) + len(batch), axis=0)
-                            d[-len(batch) :] = batch
+                df = self.table(k)  # partitions are row ranges in order
+                for f in df.schema:
+                    hdf5_type(f)
+                sets: dict = {}
+                for batch in arrow_batches(df):
+                    for f, column in zip(df.schema, batch.columns, strict=True):
+                        append_hdf5(h5py, g, sets, f, column, compression)
 
     def write(self, path: str, compression: bool = False) -> MdfFile:
-        """All tables as MDF 4.2: one file if there is one table, else a file for each, with its number, in a folder."""
-        tables = self.meta.tables()
-        for k in range(len(tables)):
-            to = path if len(tables) == 1 else os.path.join(path, f"table-{k:03d}.mf4")
-            save(self.table(k, rows=True).orderBy(ROW).drop(ROW), to, compression=compression, start_ns=self.meta.start_ns, comments=self.meta.comments)
+        """All tables as one MDF 4.2 file, one after the other."""
+        write_tables([self.table(k, rows=True).orderBy(ROW).drop(ROW) for k in range(len(self.meta.tables()))], path, compression=compression, start_ns=self.meta.start_ns, comments=self.meta.comments)
         return MdfFile(self.spark, path)
 
     def plot(self, name: str):
@@ -232,9 +239,71 @@ class MdfFile:
         return self.select(*([m] if m and m != name else []), name).toPandas().plot(x=m if m != name else None, y=name)
 
 
-def _partitions(df: DataFrame):
-    for batch in df.toLocalIterator(prefetchPartitions=False):
-        yield [batch[0]]
+def arrow_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """Batches of a DataFrame in order, one partition at a time on the driver. As bytes, so all types pass alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    for row in plain.mapInArrow(run, "batch binary").toLocalIterator(prefetchPartitions=False):
+        with pa.ipc.open_stream(row["batch"]) as r:
+            yield from r
+
+
+_HDF5 = {"boolean": "i1", "tinyint": "i1", "smallint": "i2", "int": "i4", "bigint": "i8", "float": "f4", "double": "f8", "timestamp": "i8", "timestamp_ntz": "i8", "decimal(20,0)": "u8"}
+
+
+def hdf5_type(f: T.StructField) -> str | None:
+    """The number format of a channel (None: text); raises for what is not written."""
+    kind = f.dataType
+    while isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+    name = kind.simpleString()
+    if name != "string" and name not in _HDF5 or name == "string" and isinstance(f.dataType, T.ArrayType):
+        raise TypeError(f"{f.name}: {f.dataType.simpleString()} cannot be exported")
+    return _HDF5.get(name)
+
+
+def hdf5_values(f: T.StructField, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A batch of a channel as HDF5 has it, and which rows are null."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    kind = hdf5_type(f)
+    if isinstance(f.dataType, T.ArrayType):
+        shape, first = [], next((x for x in column.to_pylist() if x is not None), [])
+        while isinstance(first, list):
+            shape.append(len(first))
+            first = first[0] if first else None
+        return np.array([np.zeros(shape) if x is None else x for x in column.to_pylist()], dtype=kind).reshape(len(column), *shape), null
+    if kind is None:
+        return np.array(column.fill_null("").to_pylist(), dtype=object), null
+    if pa.types.is_timestamp(column.type):
+        column = pc.multiply(column.cast(pa.timestamp("us", column.type.tz)).cast(pa.int64()), 1000)
+    elif pa.types.is_boolean(column.type):
+        column = column.cast(pa.int8())
+    elif pa.types.is_decimal(column.type):
+        column = column.cast(pa.uint64())
+    return column.fill_null(float("nan") if kind[0] == "f" else 0).to_numpy(zero_copy_only=False).astype(kind), null
+
+
+def append_hdf5(h5py, group, sets: dict, f: T.StructField, column: pa.Array, compression: str | None) -> None:
+    values, null = hdf5_values(f, column)
+    name = f.name.replace("/", "_")
+    for key, some in ((name, values), (f"{name}_null", null)):
+        if key == f"{name}_null" and key not in sets and not null.any():
+            continue
+        if key not in sets:
+            before = len(sets[name]) - len(null) if key != name else 0
+            kind = h5py.string_dtype() if some.dtype == object else some.dtype
+            sets[key] = group.create_dataset(key, shape=(before, *some.shape[1:]), maxshape=(None, *some.shape[1:]), chunks=True, dtype=kind, compression=compression)
+            for attribute in ("unit", "description", "sync_type"):
+                sets[key].attrs[attribute] = (f.metadata or {}).get(attribute, "")
+        sets[key].resize(len(sets[key]) + len(some), axis=0)
+        sets[key][len(sets[key]) - len(some) :] = some
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -244,8 +313,24 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def save(df: DataFrame, path: str, layout: str = "columns", compression: bool | str = False, start_ns: int = 0, comments: dict[str, str] | None = None) -> None:
-    """df as one measurement file, written by one task: its batches are streamed, not collected.
+def write_tables(tables: list[DataFrame], path: str, **options) -> None:
+    """Several DataFrames, with masters of their own, as the tables of one file: each is written by a task, behind those before."""
+    to = local(path)
+    if to is None:
+        raise ValueError("measurement files are written to local or mounted folders only")
+    part = f"{to}.{uuid.uuid4().hex}.part"
+    try:
+        for k, df in enumerate(tables):
+            save(df, part, append=k > 0, **options)
+        os.replace(part, to)
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+
+
+def save(df: DataFrame, path: str, layout: str = "columns", compression: bool | str = False, start_ns: int = 0, comments: dict[str, str] | None = None, append: bool = False) -> None:
+    """df as one measurement file, written by one task: its batches are streamed, not collected. append: as one more table
+    of a file that is there (it should not be read meanwhile; a task that is run again begins behind the old end).
 
     For data beyond one file, df.write.format("mdf") writes a file for each partition into a folder. The path must be one
     that executors and driver share.
@@ -259,17 +344,24 @@ def save(df: DataFrame, path: str, layout: str = "columns", compression: bool |
         column_of(f, 1)  # raises for what cannot be written
     names = schema.names
     os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
+    after = os.path.getsize(to) if append else None
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        if after is not None:
+            n = write_file(to, (b.rename_columns(names) for b in batches), schema, layout, how, after=after)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["rows"])
+            return
         part = f"{to}.{TaskContext.get().taskAttemptId()}.part"
         n = write_file(part, (b.rename_columns(names) for b in batches), schema, layout, how, start_ns, comments)
         os.replace(part, to)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["rows"])
 
-    df.toDF(*[f"c{k}" for k in range(len(names))]).coalesce(1).mapInArrow(run, "rows long").collect()
+    done = df.toDF(*[f"c{k}" for k in range(len(names))]).coalesce(1).mapInArrow(run, "rows long").collect()
+    if not done:  # no partition, no task: a table without rows
+        write_file(to, iter(()), schema, layout, how, start_ns, comments, after)
 
 
 # Edits: tables are immutable, an edit is a new table

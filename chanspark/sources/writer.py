@@ -48,9 +48,9 @@ class Column:
 
 
 class Writer:
-    """One file with one table, from Arrow batches."""
+    """A table of a file, from Arrow batches. after: the size of a finished file that gets one table more, else a new one is made."""
 
-    def __init__(self, f: BinaryIO, layout: str = "columns", compression: str | None = None, start_ns: int = 0, comments: dict[str, str] | None = None):
+    def __init__(self, f: BinaryIO, layout: str = "columns", compression: str | None = None, start_ns: int = 0, comments: dict[str, str] | None = None, after: int | None = None):
         if layout not in ("columns", "rows", "row") or compression not in (None, "deflate", "transpose"):
             raise ValueError(f"no such layout: {layout}, {compression}")
         self.f, self.layout, self.compression = f, layout, compression
@@ -59,8 +59,15 @@ class Writer:
         self.blocks: dict[int, list[tuple[int, int]]] = {}
         self.invalid: dict[int, list[int]] = {}
         self.columns: list[Column] = []
-        self.at = 64 + 104
-        f.write(b"\0" * self.at)  # identification and header are written last
+        self.after = after
+        if after is None:
+            self.at = 64 + 104
+            f.write(b"\0" * self.at)  # identification and header are written last
+        else:
+            f.truncate(after)
+            self.at = after + -after % 8
+            f.seek(after)
+            f.write(b"\0" * (self.at - after))
 
     def put(self, data: bytes) -> int:
         at, data = self.at, data + b"\0" * (-len(data) % 8)
@@ -158,7 +165,20 @@ class Writer:
             inval = (len(self.columns) + 7) // 8
             cg = self.put(block(b"CG", [0, cn, 0, 0, 0, 0], struct.pack("<QQHH4xII", 0, self.rows, 0, 0, byte, inval)))
             following = self.put(block(b"DG", [0, cg, self.chain(0, byte + inval), 0], struct.pack("<B7x", 0)))
-        self.seal(following)
+        self.link(following) if self.after is not None else self.seal(following)
+
+    def link(self, following: int) -> None:
+        """Hangs data groups behind the file's last one. A link to behind the old end is left of an attempt that failed."""
+        at = 64 + 24
+        while True:
+            self.f.seek(at)
+            (there,) = struct.unpack("<Q", self.f.read(8))
+            if not 0 < there < self.after:
+                break
+            at = there + 24
+        self.f.flush()
+        self.f.seek(at)
+        self.f.write(struct.pack("<Q", following))
 
     def seal(self, following: int) -> None:
         """History, comments, and at last the identification and the header, which points to the first data group."""
@@ -259,8 +279,9 @@ class Spool:
                 self.shapes[name] = tuple(shape)
 
 
-def write_file(path: str, batches: Iterator[pa.RecordBatch], schema: T.StructType, layout: str = "columns", compression: str | None = None, start_ns: int = 0, comments: dict[str, str] | None = None) -> int:
-    """Writes one file and returns its number of rows. Texts need their width in advance, so batches are spooled once."""
+def write_file(path: str, batches: Iterator[pa.RecordBatch], schema: T.StructType, layout: str = "columns", compression: str | None = None, start_ns: int = 0, comments: dict[str, str] | None = None, after: int | None = None) -> int:
+    """Writes one file, or one more table behind the first so many bytes of one, and returns its number of rows. Texts need
+    their width in advance, so batches are spooled once."""
     spool = Spool(path + ".spool")
     kept, sink, first = [], None, None
     try:
@@ -276,8 +297,8 @@ def write_file(path: str, batches: Iterator[pa.RecordBatch], schema: T.StructTyp
         if sink is not None:
             sink.close()
         columns = [column_of(f, spool.widths.get(f.name, 1), spool.shapes.get(f.name, (1,) if isinstance(f.dataType, T.ArrayType) else ())) for f in schema]
-        with open(path, "w+b") as f:
-            w = Writer(f, "rows" if layout == "row" else layout, compression, start_ns, comments)
+        with open(path, "w+b" if after is None else "r+b") as f:
+            w = Writer(f, "rows" if layout == "row" else layout, compression, start_ns, comments, after)
             w.start(columns)
             for batch in kept if layout != "row" else ([pa.Table.from_batches(kept).combine_chunks().to_batches()[0]] if kept else []):
                 w.write(batch)

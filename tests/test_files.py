@@ -334,3 +334,98 @@ def test_ranges_carry_their_own_segments(tmp_path):
         return sum(len(pickle.dumps(r)) for r in ranges)
 
     assert total(4000) < 4.5 * total(1000)
+
+
+@pytest.mark.parametrize("layout", ["rows", "columns"])
+def test_several_tables_in_one_file(spark, tmp_path, layout):
+    """Tables of other lengths and masters come back each; a table of an attempt that failed leaves nothing."""
+    path = str(tmp_path / "many.mf4")
+    a = mdf.set_master(spark.range(1000).select(F.col("id").alias("ta"), (F.col("id") * 2).alias("x")), "ta")
+    b = mdf.set_master(spark.range(37).select((F.col("id") / 4).alias("tb"), F.concat(F.lit("t"), "id").alias("text")), "tb")
+    c = spark.range(0).select(F.col("id").alias("none"))
+    mdf.write_tables([a, b, c], path, layout=layout, comments={"comment": "three"})
+    size = len(open(path, "rb").read())
+    f = mdf.MdfFile(spark, path)
+    assert f.channel_names() == ["none", "ta", "tb", "text", "x"] and f.master("x") == "ta" and f.master("text") == "tb" and f.meta.comments["comment"] == "three"
+    assert sorted(map(tuple, f.group("x").collect())) == [(k, 2 * k) for k in range(1000)]
+    assert sorted((r.tb, r.text) for r in f.group("text").collect()) == [(k / 4, f"t{k}") for k in range(37)]
+    assert f.group("none").count() == 0
+    mdf.save(a.withColumnRenamed("x", "left"), path, layout, append=True)
+    with open(path, "r+b") as g:
+        g.truncate(size + 100)  # as if that attempt had ended in its middle
+    write_file(path, iter(b.withColumnRenamed("text", "again").toArrow().to_batches()), b.withColumnRenamed("text", "again").schema, layout, after=size)
+    names = mdf.MdfFile(spark, path).channel_names()
+    assert {"again", "none", "ta", "tb", "text", "x"} < set(names) and len(names) == 7 and "left" not in names
+    assert mdf.MdfFile(spark, path).group("again").count() == 37
+    copy = f.write(str(tmp_path / "copy.mf4"))
+    assert [t.count() for t in copy.tables()] == [1000, 37, 0] and not list(tmp_path.glob("*.part"))
+
+
+class FakeH5:
+    """As much of h5py as the export uses."""
+
+    class Set:
+        def __init__(self, shape, dtype):
+            self.data, self.attrs = np.zeros(shape, object if dtype == "text" else dtype), {}
+
+        def resize(self, n, axis):
+            self.data = np.concatenate([self.data, np.zeros((n - len(self.data), *self.data.shape[1:]), self.data.dtype)])
+
+        def __len__(self):
+            return len(self.data)
+
+        def __setitem__(self, at, values):
+            self.data[at] = values
+
+    class File(dict):
+        def __init__(self, path, mode):
+            FakeH5.last = self
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def create_group(self, name):
+            self[name] = FakeH5.File("", "")
+            FakeH5.last = self
+            return self[name]
+
+        def create_dataset(self, name, shape, maxshape, chunks, dtype, compression):
+            self[name] = FakeH5.Set(shape, dtype)
+            return self[name]
+
+    @staticmethod
+    def string_dtype():
+        return "text"
+
+
+def test_hdf5_export(spark, tmp_path, monkeypatch):
+    """Numbers, texts, arrays and nulls, over several partitions and batches."""
+    import sys
+
+    monkeypatch.setitem(sys.modules, "h5py", FakeH5)
+    path = str(tmp_path / "h.mf4")
+    df = spark.range(3000).select(F.col("id").alias("t"), F.when(F.col("id") > 2500, F.col("id") / 2).alias("half"), F.concat(F.lit("t"), "id").alias("text"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("pair"))
+    mdf.save(mdf.set_unit(mdf.set_master(df.coalesce(1), "t"), "half", "km"), path, "rows")
+    mdf.MdfFile(spark, path).export_hdf5(str(tmp_path / "x.h5"))
+    g = FakeH5.last["0_t"]
+    order = np.argsort(g["t"].data)
+    assert (g["t"].data[order] == np.arange(3000)).all() and (g["text"].data[order] == [f"t{k}" for k in range(3000)]).all()
+    assert (g["pair"].data[order][:, 0] == np.arange(3000)).all() and g["pair"].data.shape == (3000, 2)
+    half, null = g["half"].data[order], g["half_null"].data[order]
+    assert (null == (np.arange(3000) <= 2500)).all() and (half[~null] == np.arange(2501, 3000) / 2).all() and np.isnan(half[null]).all()
+    assert g["half"].attrs["unit"] == "km" and "t_null" not in g
+    bad = str(tmp_path / "z.mf4")
+    mdf.save(spark.range(2).select(F.struct(F.lit(1.0).alias("re"), F.lit(2.0).alias("im")).alias("z")), bad)
+    with pytest.raises(TypeError):
+        mdf.MdfFile(spark, bad).export_hdf5(str(tmp_path / "y.h5"))
+
+
+def test_parquet_metadata(spark, tmp_path):
+    path = str(tmp_path / "p.mf4")
+    mdf.save(mdf.set_unit(mdf.set_master(spark.range(5).select(F.col("id").alias("t"), F.col("id").alias("v")), "t"), "v", "V"), path)
+    (out,) = mdf.MdfFile(spark, path).export_parquet(str(tmp_path))
+    meta = spark.read.parquet(out).schema["v"].metadata
+    assert (meta["unit"], meta["file_name"], meta["master_channel"]) == ("V", "p.mf4", "t")

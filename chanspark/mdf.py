@@ -125,6 +125,11 @@ class MdfFile:
         rows = [(h.time_ns, h.tz_minutes, h.dst_minutes, h.comment, h.tags) for h in self.meta.history]
         return self.spark.createDataFrame(rows, "time_ns long, tz_minutes int, dst_minutes int, comment string, tags map<string,string>")
 
+    def arrays(self) -> DataFrame:
+        """Array channels: shape and what the file says of their axes, one row for each composition."""
+        rows = [(c.name, list(c.shape), c.order, a.kind, a.storage, a.flags, a.axes, a.cycle_counts, a.links) for t in self.meta.tables() for _, c in t.columns() for a in c.arrays]
+        return self.spark.createDataFrame(rows, "name string, shape array<long>, order string, array_type int, storage int, flags long, axes array<array<double>>, cycle_counts array<long>, links map<string,array<long>>")
+
     def describe(self) -> DataFrame:
         """For each channel its unit, description, and its first and last value as text, by row number."""
         out = []
@@ -233,6 +238,13 @@ class MdfFile:
         write_tables([self.table(k, rows=True).orderBy(ROW).drop(ROW) for k in range(len(self.meta.tables()))], path, compression=compression, start_ns=self.meta.start_ns, comments=self.meta.comments)
         return MdfFile(self.spark, path)
 
+    def add_table(self, df: DataFrame, layout: str = "columns", compression: bool | str = False) -> MdfFile:
+        """This file with df as one more channel group, with a master and a length of its own, behind those that are there."""
+        if self.version < 400:
+            raise ValueError("tables are added to files of version 4; write() makes one")
+        save(df, self.path, layout, compression, append=True)
+        return MdfFile(self.spark, self.path)
+
     def plot(self, name: str):
         """The channel over its master, by matplotlib if that is installed."""
         m = self.master(name)

@@ -259,6 +259,237 @@ conversion_query("conv3_texttable", "lineitem", _L, "l_linenumber", Conversion(3
 conversion_query("conv3_textrange", "events", _E, "value", Conversion(3, 12, [0, 0, 0, 5, 5, 50], ["other", "small", "medium"]), "CASE WHEN value >= 0 AND value < 5 THEN 'small' WHEN value >= 5 AND value < 50 THEN 'medium' ELSE 'other' END")
 
 
+# With p4 = 0 the first form holds, with p1 = 0 the second.
+conversion_query("conv3_exponential_second", "events", _E, "value", Conversion(3, 7, [0, 0, 50, 2, 0.5, -3, -7]), "ln((50 / (value + 7) + 3) / 2) / 0.5", 9)
+conversion_query("conv3_logarithmic_second", "events", _E, "value", Conversion(3, 8, [0, 0, 50, 200, 0.5, -3, -7]), "exp((50 / (value + 7) + 3) / 200) / 0.5", 9)
+conversion_query("conv3_interpolated", "events", _E, "value", Conversion(3, 1, _FLAT), _INTERP, 9)
+conversion_query("conv3_tabular", "events", _E, "value", Conversion(3, 2, _FLAT), f"CAST({_NEAREST} AS DOUBLE)")
+conversion_query("conv3_linear", "lineitem", _L, "l_quantity", Conversion(3, 0, [-4.8, -3.2]), f"l_quantity * {_D(-3.2)} + {_D(-4.8)}")
+conversion_query("conv3_rational", "lineitem", _L, "l_quantity", Conversion(3, 9, [0.5, 2, 1, 0, 0.25, 3]), "(l_quantity * l_quantity * 0.5::DOUBLE + l_quantity * 2 + 1) / (l_quantity * l_quantity * 0 + l_quantity * 0.25::DOUBLE + 3)", 9)
+conversion_query("conv3_formula", "lineitem", _L, "l_quantity", Conversion(3, 10, formula="(X1*X1+1)/2 - 3*X1"), "(l_quantity * l_quantity + 1) / 2 - 3 * l_quantity", 9)
+conversion_query("conv3_identity", "lineitem", _L, "l_quantity", Conversion(3, 65535), "l_quantity")
+
+
+_V3_CHANNELS = f"round({_INTERP}, 9) AS interpolated, CAST({_NEAREST} AS DOUBLE) AS tabular, round((value * value + 2) / (0.5::DOUBLE * value + 3), 9) AS rational, round(value * value / 2 - 1, 9) AS formula, round(ln((value + 1) / 2) / 0.5, 9) AS exponential"
+
+
+@query("v3_conversions", f"SELECT event_id, {_V3_CHANNELS} FROM events")
+def v3_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversions as version 3 files store them, all of the same bytes."""
+    path = place(spark, "file.mdf")
+    doubles = lambda *v: samples.struct.pack(f"<{len(v)}d", *v)
+    blocks = {"interpolated": (1, len(_POINTS), doubles(*_FLAT)), "tabular": (2, len(_POINTS), doubles(*_FLAT)), "rational": (9, 6, doubles(1, 0, 2, 0, 0.5, 3)), "formula": (10, 1, b"X1*X1/2-1".ljust(256, b"\0")), "exponential": (7, 7, doubles(2, 0.5, -1, 0, 0, 1, 0))}
+
+    def make(batches, path):
+        parts = [samples.packed(b, ["<i8", "<f8"]) for b in batches]
+        channels = [{"name": "event_id", "type": 1, "byte": 0, "bits": 64, "master": True}, *({"name": n, "type": 3, "byte": 8, "bits": 64, "cc": cc} for n, cc in blocks.items())]
+        samples.version3(path, b"".join(p.tobytes() for p in parts), sum(map(len, parts)), 16, channels)
+
+    samples.build(table(spark, sf_dir, "events").select("event_id", "value"), path, make)
+    return mdf.MdfFile(spark, path).table(0).select("event_id", *[c if c == "tabular" else F.round(c, 9).alias(c) for c in blocks])
+
+
+_DATE_SQL = "CAST(event_id % 60000 AS INTEGER) AS ms, CAST(event_id % 60 AS SMALLINT) AS min, CAST(event_id % 24 AS SMALLINT) AS hour, CAST(event_id % 28 + 1 AS SMALLINT) AS day, CAST(event_id % 12 + 1 AS SMALLINT) AS month, CAST(event_id % 100 AS SMALLINT) AS year"
+_DATE_BYTES = [("event_id", "<i8"), ("event_id % 60000", "<u2"), ("event_id % 60", "<u1"), ("event_id % 24", "<u1"), ("event_id % 28 + 1", "<u1"), ("event_id % 12 + 1", "<u1"), ("event_id % 100", "<u1"), ("event_id * 3", "<u4"), ("event_id % 20000", "<u2")]
+
+
+def _dates(df: DataFrame) -> DataFrame:
+    date = [F.col(f"`d {n}`").cast("int" if n == "ms" else "smallint").alias(n) for n in ("ms", "min", "hour", "day", "month", "year")]
+    return df.select("event_id", *date, F.col("`t ms`").cast("bigint").alias("time_ms"), F.col("`t days`").cast("int").alias("time_days"))
+
+
+@query("decode_canopen", f"SELECT event_id, {_DATE_SQL}, CAST(event_id * 3 AS BIGINT) AS time_ms, CAST(event_id % 20000 AS INTEGER) AS time_days FROM events")
+def decode_canopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CANopen date and a CANopen time, as the channels of their parts."""
+    return _dates(_decoded(spark, sf_dir, "events", _DATE_BYTES, [Field("event_id", 2, 64, 0), Field("d", 13, 56, 8), Field("t", 14, 48, 15)]))
+
+
+@query("v3_canopen", f"SELECT event_id, {_DATE_SQL}, CAST(event_id * 3 AS BIGINT) AS time_ms, CAST(event_id % 20000 AS INTEGER) AS time_days FROM events")
+def v3_canopen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as conversions 132 and 133 of a version 3 file."""
+    path = place(spark, "file.mdf")
+
+    def make(batches, path):
+        parts = [samples.packed(b, [k for _, k in _DATE_BYTES]) for b in batches]
+        channels = [{"name": "event_id", "type": 1, "byte": 0, "bits": 64, "master": True}, {"name": "d", "type": 8, "byte": 8, "bits": 56, "cc": (132, 0, b"")}, {"name": "t", "type": 8, "byte": 15, "bits": 48, "cc": (133, 0, b"")}]
+        samples.version3(path, b"".join(p.tobytes() for p in parts), sum(map(len, parts)), 21, channels)
+
+    samples.build(table(spark, sf_dir, "events").select(*[F.expr(e).alias(f"c{k}") for k, (e, _) in enumerate(_DATE_BYTES)]), path, make)
+    return _dates(mdf.MdfFile(spark, path).table(0))
+
+
+@query("decode_matrices", "SELECT l_orderkey, l_linenumber, CAST(r.i AS INTEGER) AS i, CAST(c.j AS INTEGER) AS j, CASE r.i * 2 + c.j WHEN 0 THEN l_quantity WHEN 1 THEN l_extendedprice WHEN 2 THEN l_discount ELSE l_tax END AS cell FROM lineitem, (VALUES (0), (1)) r(i), (VALUES (0), (1)) c(j)")
+def decode_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-dimensional arrays, with values for their axes."""
+    columns = [("l_orderkey", "<i8"), ("l_linenumber", "<i4"), ("l_quantity", "<f8"), ("l_extendedprice", "<f8"), ("l_discount", "<f8"), ("l_tax", "<f8")]
+    df = _decoded(spark, sf_dir, "lineitem", columns, [Field("l_orderkey", 2, 64, 0), Field("l_linenumber", 2, 32, 8), Field("m", 4, 64, 12, shape=(2, 2), axes=((1.0, 2.0), (10.0, 20.0)))])
+    return df.select("l_orderkey", "l_linenumber", F.posexplode("m").alias("i", "row")).select("l_orderkey", "l_linenumber", "i", F.posexplode("row").alias("j", "cell"))
+
+
+@query("meta_arrays", "SELECT 'm' AS name, 'C' AS \"order\", 6 AS cells, '10.0,20.0,30.0' AS second_axis")
+def meta_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    numbers = table(spark, sf_dir, "region").select(*[F.lit(float(k)).alias(f"c{k}") for k in range(6)])
+    samples.build(numbers, path, partial(samples.straddling, kinds=["<f8"] * 6, fields=[Field("m", 4, 64, 0, shape=(2, 3), axes=((1.0, 2.0), (10.0, 20.0, 30.0)))]))
+    return mdf.MdfFile(spark, path).arrays().select("name", "order", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x).cast("int").alias("cells"), F.array_join(F.get("axes", F.lit(1)).cast("array<string>"), ",").alias("second_axis"))
+
+
+_START = 1_700_000_000_123_456_000
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> mdf.MdfFile:
+    """A file whose attachments are the regions' names and whose events are the regions, with comments of its own."""
+    path = place(spark)
+
+    def make(batches, path):
+        rows = [r for b in batches for r in b.to_pylist()]
+        samples.documented(path, [(f"{r['r_name']}.txt", r["r_name"].encode() * 50, r["r_regionkey"] % 2 == 1) for r in rows], [(r["r_name"], 6, r["r_regionkey"] * 10, 0.5) for r in rows], {"Author": "An Author", "comment": "a & b", "project": "<none>"}, _START)
+
+    samples.build(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), path, make)
+    return mdf.MdfFile(spark, path)
+
+
+@query("meta_attachments", "SELECT r_name || '.txt' AS name, 'text/plain' AS mime, CAST(50 * length(r_name) AS BIGINT) AS size, md5(repeat(r_name, 50)) AS md5_of_data, true AS intact FROM region")
+def meta_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).attachments().select("name", "mime", "size", F.md5("data").alias("md5_of_data"), "intact")
+
+
+@query("meta_events", "SELECT r_name AS name, 6 AS type, CAST(r_regionkey * 5 AS DOUBLE) AS value FROM region")
+def meta_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).events().select("name", "type", "value")
+
+
+@query("meta_header", f"SELECT 420 AS version, CAST({_START} AS BIGINT) AS start_ns, CAST({_START // 1000} AS BIGINT) AS start_us, 'An Author' AS author, 'a & b' AS comment, '<none>' AS project")
+def meta_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("comments")
+    return _documents(spark, sf_dir).header().select("version", "start_ns", F.unix_micros("start_time").alias("start_us"), c["Author"].alias("author"), c["comment"].alias("comment"), c["project"].alias("project"))
+
+
+@query("meta_file_history", f"SELECT CAST({_START} AS BIGINT) AS time_ns, 'written' AS comment, 'chanspark' AS tool")
+def meta_file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).file_history().select("time_ns", "comment", F.col("tags")["tool_id"].alias("tool"))
+
+
+@query("meta_sources", "SELECT * FROM (VALUES ('speed', 'engine', 'ECU 1'), ('speed gearbox', 'gearbox', 'ECU 2'), ('key', NULL, NULL)) t(name, source_name, source_path)")
+def meta_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of one name are told apart by their sources."""
+    path = place(spark)
+    fields = [Field("key", 2, 32, 0), Field("speed", 2, 32, 0, source=("engine", "ECU 1")), Field("speed", 2, 32, 0, source=("gearbox", "ECU 2"))]
+    samples.build(table(spark, sf_dir, "region").select("r_regionkey"), path, partial(samples.straddling, kinds=["<i4"], fields=fields))
+    return mdf.MdfFile(spark, path).channels().select("name", "source_name", "source_path")
+
+
+@query("meta_v3_header", "SELECT 330 AS version, CAST(1044072306000000000 AS BIGINT) AS start_ns, 'An Author' AS author, 'Org' AS organisation, 'Project' AS project, 'Subject' AS subject")
+def meta_v3_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("comments")
+    return mdf.MdfFile(spark, _version3(spark, sf_dir)).header().select("version", "start_ns", c["author"].alias("author"), c["organisation"].alias("organisation"), c["project"].alias("project"), c["subject"].alias("subject"))
+
+
+@query("meta_channel", "SELECT 'o_totalprice' AS name, 'EUR' AS unit, 'price of the order' AS description, 'o_orderkey' AS master, 1 AS master_type, 'double' AS dtype, 420 AS version")
+def meta_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit, description, master, its type, and the type of a channel, each asked for by name."""
+    path = place(spark)
+    df = mdf.set_master(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    mdf.save(mdf.set_description(mdf.set_unit(df, "o_totalprice", "EUR"), "o_totalprice", "price of the order"), path)
+    f, n = mdf.MdfFile(spark, path), "o_totalprice"
+    return spark.createDataFrame([(n, f.unit(n), f.description(n), f.master(n), f.master_type(n), f.dtype(n).simpleString(), f.version)], "name string, unit string, description string, master string, master_type int, dtype string, version int")
+
+
+@query("meta_describe", "SELECT name, unit, first, last FROM (VALUES ('s_suppkey', '', (SELECT CAST(min(s_suppkey) AS VARCHAR) FROM supplier), (SELECT CAST(max(s_suppkey) AS VARCHAR) FROM supplier)), ('s_nationkey', 'nation', (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier ORDER BY s_suppkey LIMIT 1), (SELECT CAST(s_nationkey AS VARCHAR) FROM supplier ORDER BY s_suppkey DESC LIMIT 1))) t(name, unit, first, last)")
+def meta_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    df = mdf.set_unit(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").orderBy("s_suppkey"), "s_nationkey", "nation")
+    mdf.save(df, path)
+    return mdf.MdfFile(spark, path).describe().select("name", "unit", "first", "last")
+
+
+# Several tables, edits and cuts of files
+
+_BOTH = "SELECT 0 AS tag, o_orderkey AS key, o_totalprice AS value FROM orders UNION ALL SELECT 1, event_id, value FROM events"
+
+
+def _both(spark: SparkSession, sf_dir: str) -> mdf.MdfFile:
+    path = place(spark, "both.mf4")
+    orders = mdf.set_master(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_totalprice").alias("price")), "order")
+    events = mdf.set_master(table(spark, sf_dir, "events").select(F.col("event_id").alias("event"), "value"), "event")
+    mdf.write_tables([orders, events], path)
+    return mdf.MdfFile(spark, path)
+
+
+def _tagged(frames: list[DataFrame]) -> DataFrame:
+    parts = [df.select(F.lit(k).alias("tag"), F.col(df.columns[0]).alias("key"), F.col(df.columns[1]).alias("value")) for k, df in enumerate(frames)]
+    return parts[0].union(parts[1])
+
+
+@query("write_multi", _BOTH)
+def write_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of other lengths and masters in one file."""
+    return _tagged(_both(spark, sf_dir).tables())
+
+
+@query("write_multi_copy", _BOTH)
+def write_multi_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of a file written to another one, compressed."""
+    return _tagged(_both(spark, sf_dir).write(place(spark, "copy.mf4"), compression=True).tables())
+
+
+@query("export_parquet_all", _BOTH)
+def export_parquet_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = _both(spark, sf_dir)
+    return _tagged([spark.read.parquet(p) for p in file.export_parquet(os.path.dirname(file.path), "gzip")])
+
+
+@query("export_parquet_metadata", "SELECT * FROM (VALUES ('order', 'both.mf4', 'order'), ('price', 'both.mf4', 'order'), ('event', 'both.mf4', 'event'), ('value', 'both.mf4', 'event')) t(name, file_name, master_channel)")
+def export_parquet_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = _both(spark, sf_dir)
+    fields = [f for p in file.export_parquet(os.path.dirname(file.path)) for f in spark.read.parquet(p).schema]
+    return spark.createDataFrame([(f.name, f.metadata["file_name"], f.metadata["master_channel"]) for f in fields], "name string, file_name string, master_channel string")
+
+
+@query("edit_add_table", _BOTH)
+def edit_add_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A channel with a master and a length of its own is added to a file."""
+    path = place(spark)
+    mdf.save(mdf.set_master(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_totalprice").alias("price")), "order"), path)
+    events = mdf.set_master(table(spark, sf_dir, "events").select(F.col("event_id").alias("event"), "value"), "event")
+    return _tagged(mdf.MdfFile(spark, path).add_table(events).tables())
+
+
+@query("edit_file", "SELECT s_suppkey, s_acctbal + 1 AS balance, s_acctbal * 2 AS doubled FROM supplier")
+def edit_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels added, removed, renamed and set, written and read again."""
+    first, second = place(spark), place(spark)
+    mdf.save(mdf.set_master(_supplier(spark, sf_dir), "s_suppkey"), first)
+    df = mdf.MdfFile(spark, first).table(0)
+    df = mdf.remove_channel(mdf.add_channel(df, "doubled", F.col("s_acctbal") * 2, "EUR"), "s_nationkey")
+    mdf.save(mdf.rename_channel(mdf.set_data(df, "s_acctbal", F.col("s_acctbal") + 1), "s_acctbal", "balance"), second)
+    return mdf.MdfFile(spark, second).table(0)
+
+
+@query("edit_metadata", "SELECT * FROM (VALUES ('s_suppkey', '', '', 's_suppkey', 1), ('s_acctbal', 'EUR', 'balance of the account', 's_suppkey', 0)) t(name, unit, description, master, sync_type)")
+def edit_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = place(spark)
+    df = mdf.set_master(_supplier(spark, sf_dir).select("s_suppkey", "s_acctbal"), "s_suppkey")
+    mdf.save(mdf.set_description(mdf.set_unit(df, "s_acctbal", "EUR"), "s_acctbal", "balance of the account"), path)
+    return mdf.MdfFile(spark, path).channels().select("name", "unit", "description", "master", "sync_type")
+
+
+@query("cut_file", "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 900")
+def cut_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stretch of the master of a written file: only its row ranges are read."""
+    path = place(spark)
+    mdf.save(mdf.set_master(table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id"), "event_id"), path)
+    return mdf.MdfFile(spark, path).window("value", 100, 900)
+
+
+@query("cut_file_pushed", "SELECT event_id, value FROM events WHERE event_id BETWEEN 100 AND 900")
+def cut_file_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an ordinary filter, which Spark pushes down to the source."""
+    path = place(spark)
+    mdf.save(mdf.set_master(table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id"), "event_id"), path, "rows", True)
+    return ops.cut(mdf.MdfFile(spark, path).table(0), "event_id", 100, 900)
+
+
 # Aggregates, metadata, edits, exports
 
 @query("agg_min_max", "SELECT CAST(min(l_quantity) AS DOUBLE) AS min_l_quantity, CAST(max(l_quantity) AS DOUBLE) AS max_l_quantity, CAST(min(l_partkey) AS DOUBLE) AS min_l_partkey, CAST(max(l_partkey) AS DOUBLE) AS max_l_partkey FROM lineitem")

@@ -10,7 +10,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import BinaryIO
 
-from .model import Attachment, Channel, Conversion, Event, Group, History, Meta, Segment, Source
+from .model import Array, Attachment, Channel, Conversion, Event, Group, History, Meta, Segment, Source
 
 #: Parts of CANopen dates and times: (name, byte, bit offset, bits).
 DATE_PARTS = (("ms", 0, 0, 16), ("min", 2, 0, 6), ("hour", 3, 0, 5), ("day", 4, 0, 5), ("month", 5, 0, 6), ("year", 6, 0, 7))
@@ -242,11 +242,30 @@ class Parser:
             b = Block(self.f, at)
             if b.id != b"##CA":
                 return
-            _, _, n, flags = b.unpack("BBHI")
-            c.shape += b.unpack(f"{n}Q", 16)
+            kind, storage, n, flags = b.unpack("BBHI")
+            shape = b.unpack(f"{n}Q", 16)
+            c.shape += shape
             c.order = "F" if flags & 64 else "C"
+            c.arrays.append(self.array_info(b, Array(kind, storage, flags), shape))
             at = b.links[0]
 
+    @staticmethod
+    def array_info(b: Block, info: Array, shape: tuple[int, ...]) -> Array:
+        """Axis values and cycle counts stand behind the sizes; links come by role, as flags and storage say."""
+        n, at, cells = len(shape), 16 + 8 * len(shape), size_of(shape)
+        if info.flags & 32:
+            for size in shape:
+                info.axes.append(list(b.unpack(f"{size}d", at)))
+                at += 8 * size
+        if info.storage:
+            info.cycle_counts = list(b.unpack(f"{cells}Q", at))
+        links = list(b.links[1:])
+        roles = [("data", cells * (info.storage == 2)), ("dynamic_size", 3 * n * bool(info.flags & 1)), ("input", 3 * n * bool(info.flags & 2)), ("output", 3 * bool(info.flags & 4)), ("comparison", 3 * bool(info.flags & 8)), ("axis_conversion", n * bool(info.flags & 16)), ("axis", 3 * n * (info.flags & 48 == 16))]
+        for role, count in roles:
+            if count and links:
+                info.links[role], links = links[:count], links[count:]
+        return info
+
 
 def size_of(shape: tuple[int, ...]) -> int:
     return reduce(lambda a, b: a * b, shape, 1)

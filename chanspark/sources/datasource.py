@@ -37,6 +37,8 @@ def column_metadata(c: Channel, table: Table) -> dict:
     out: dict = {"unit": c.unit, "description": c.description, "sync_type": c.sync, "master": table.master.name if table.master else ""}
     if c.shape:
         out |= {"shape": list(c.shape), "order": c.order}
+        if any(a.axes for a in c.arrays):
+            out |= {f"axis_{k}": axis for k, axis in enumerate(x for a in c.arrays for x in a.axes)}  # Spark's metadata do not nest lists
     return out
 
 

@@ -37,6 +37,20 @@ class Segment:
     param: int = 0
 
 
+@dataclass
+class Array:
+    """What a file says of an array channel beside its shape: kind (0 array, 1 scaling axis, 2 look-up, 3 intervals, 4
+    classification), storage (0 channel template, 1 and 2 group templates), fixed axis values by dimension, cycle counts,
+    and the places of the blocks that it refers to, by role."""
+
+    kind: int = 0
+    storage: int = 0
+    flags: int = 0
+    axes: list[list[float]] = field(default_factory=list)
+    cycle_counts: list[int] = field(default_factory=list)
+    links: dict[str, list[int]] = field(default_factory=dict)
+
+
 @dataclass
 class Channel:
     """A column. kind: 0 fixed, 1 variable length, 2 master, 3 virtual master, 4 synchronisation, 5 maximum length, 6 virtual."""
@@ -56,6 +70,7 @@ class Channel:
     source: Source | None = None
     shape: tuple[int, ...] = ()
     order: str = "C"
+    arrays: list[Array] = field(default_factory=list)
     position: int = 0
     big_endian: bool = False
     #: Where variable-length values are: a stream, or the record id of their own channel group.

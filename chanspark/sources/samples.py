@@ -4,7 +4,9 @@ of their own, virtual channels, nested parts, and version 3. Used by the registe
 
 from __future__ import annotations
 
+import hashlib
 import struct
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +38,7 @@ class Field:
     data: int = 0
     shape: tuple[int, ...] = ()
     column_major: bool = False
+    axes: tuple[tuple[float, ...], ...] = ()
     source: tuple[str, str] | None = None
     members: list[Field] = field(default_factory=list)
 
@@ -55,7 +58,7 @@ class Builder(Writer):
         for c in reversed(fields):
             composition = self.fields(c.members) if c.members else 0
             if c.shape:
-                composition = self.put(block(b"CA", [0], struct.pack("<BBHIiI", 0, 0, len(c.shape), 64 if c.column_major else 0, c.bits // 8, 0) + struct.pack(f"<{len(c.shape)}Q", *c.shape)))
+                composition = self.put(block(b"CA", [0], struct.pack("<BBHIiI", 0, 0, len(c.shape), (64 if c.column_major else 0) | (32 if c.axes else 0), c.bits // 8, 0) + struct.pack(f"<{len(c.shape)}Q", *c.shape) + b"".join(struct.pack(f"<{len(a)}d", *a) for a in c.axes)))
             source = self.put(block(b"SI", [self.text(c.source[0]), self.text(c.source[1]), 0], struct.pack("<BBB5x", 1, 0, 0))) if c.source else 0
             links = [following, composition, self.text(c.name), source, self.conversion(c.conversion), c.data, self.text(c.unit), self.text(c.description)]
             following = self.put(block(b"CN", links, struct.pack("<4BIIIIBxHdddddd", c.kind, c.sync, c.data_type, c.bit, c.byte, c.bits, c.flags, c.inval_bit, 0, 0, *[0.0] * 6)))
@@ -152,6 +155,21 @@ def mixed(batches: Iterator[pa.RecordBatch], path: str, id_size: int = 2, compre
         w.seal(w.data_group(first, w.listed(blocks), id_size))
 
 
+def documented(path: str, attachments: Iterable[tuple[str, bytes, bool]], events: Iterable[tuple[str, int, int, float]], comments: dict[str, str], start_ns: int) -> None:
+    """A file without data: attachments (name, bytes, whether compressed), events (name, type, base, factor), comments, history."""
+    with open(path, "w+b") as f:
+        w = Builder(f, comments=comments, start_ns=start_ns)
+        first = [0, 0]
+        for name, data, packed_ in reversed(list(attachments)):
+            stored = zlib.compress(data) if packed_ else data
+            first[0] = w.put(block(b"AT", [first[0], w.text(name), w.text("text/plain"), 0], struct.pack("<HH4x16sQQ", 7 if packed_ else 5, 0, hashlib.md5(data).digest(), len(data), len(stored)) + stored))
+        for name, kind, base, factor in reversed(list(events)):
+            first[1] = w.put(block(b"EV", [first[1], 0, 0, w.text(name), 0], struct.pack("<5B3xIHHqd", kind, 1, 0, 1, 0, 0, 0, 0, base, factor)))
+        w.seal(0)
+        f.seek(64 + 24 + 24)
+        f.write(struct.pack("<qq", *first))
+
+
 def version3(path: str, records: bytes, rows: int, size: int, channels: Iterable[dict], version: int = 330, big: bool = False, groups: list[dict] | None = None, n_ids: int = 0) -> None:
     """A file of version 3 with one group (or several: dicts with record_id, rows, size, channels). A channel is a dict:
     name, type, byte, bit, bits, and perhaps master, unit, description, cc (kind, number of entries, bytes), ce (kind, bytes)."""

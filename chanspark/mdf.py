@@ -206,9 +206,8 @@ class MdfFile:
             if only is None or any(c.name == only for _, c in t.columns()):
                 tag = re.sub(r"\W+", "_", t.master.name if t.master else "no_master")
                 out.append(f"{folder.rstrip('/')}/{base}_{k}_{tag}.parquet")
-                df = self.table(k)
-                for f in df.schema:
-                    df = with_metadata(df, f.name, file_name=os.path.basename(self.path), master_channel=t.master.name if t.master else "")
+                df, said = self.table(k), {"file_name": os.path.basename(self.path), "master_channel": t.master.name if t.master else ""}
+                df = df.select(*[q(f.name).alias(f.name, metadata={**(f.metadata or {}), **said}) for f in df.schema])
                 df.write.option("compression", codec).mode("overwrite").parquet(out[-1])
         return out
 
@@ -379,8 +378,8 @@ def save(df: DataFrame, path: str, layout: str = "columns", compression: bool |
 # Edits: tables are immutable, an edit is a new table
 
 def with_metadata(df: DataFrame, name: str, **values) -> DataFrame:
-    """Unit, description or other metadata of a column."""
-    return df.withMetadata(name, {**(df.schema[name].metadata or {}), **values})
+    """Unit, description or other metadata of a column, whose name may hold dots and the like."""
+    return df.select(*[q(f.name).alias(f.name, metadata={**(f.metadata or {}), **(values if f.name == name else {})}) for f in df.schema])
 
 
 def set_unit(df: DataFrame, name: str, unit: str) -> DataFrame:

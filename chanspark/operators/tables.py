@@ -88,14 +88,28 @@ def resample_linear(df: DataFrame, master: str, step: float, column: str, by: li
     return both.select(*map(q, by or []), x.alias(master), value.alias(column))
 
 
+#: Rows of a series that one task sorts, on average.
+ASOF_ROWS = 2_000_000
+
+
+def _block(tables: list[DataFrame], master: str, by: list[str]) -> float | None:
+    """The length of the master's axis that holds ASOF_ROWS rows of the longest series, None if no series has more."""
+    axis = reduce(lambda a, b: a.union(b), [t.select(q(master).cast("double").alias("x"), *[q(c).cast("string").alias(f"b{k}") for k, c in enumerate(by)]) for t in tables])
+    found = axis.where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e300").groupBy(*[f"b{k}" for k in range(len(by))]).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    r = found.agg(F.max("n").alias("n"), F.max_by(F.col("high") - F.col("low"), "n").alias("span")).first()
+    return r["span"] / -(-r["n"] // ASOF_ROWS) if r["n"] and r["n"] > ASOF_ROWS and r["span"] else None
+
+
 def merge_asof(left: DataFrame, right: DataFrame, master: str, by: list[str] | None = None, block: float | None = None) -> DataFrame:
     """Each row of left with the columns of the last row of right at or before its master, within by.
 
     Both sides are laid in one order and the right side's rows carried forward: one shuffle by series and block, no join
     of pairs. Of right rows with one master the last in the order of their values counts. block is the length of the
-    master's axis that one task sorts; without it a series is a block of its own.
+    master's axis that one task sorts. Without it, the rows are counted here: a series of up to ASOF_ROWS is a block of its
+    own, a longer one is cut into blocks that have about so many on average.
     """
     by = by or []
+    block = block if block is not None else _block([left, right], master, by)
     extra = [c for c in right.columns if c != master and c not in by]
     if clash := [c for c in extra if c in left.columns]:
         raise ValueError(f"both sides have {clash}")

@@ -99,3 +99,24 @@ def test_rational_and_arrays(spark):
 
 def test_positional():
     assert [positional(x) for x in (1.0, 1e20, 0.1 + 0.2, 1e-7, -0.0, math.inf, math.nan)] == ["1", "100000000000000000000", "0.30000000000000004", "0.0000001", "-0", "inf", "NaN"]
+
+
+def test_number_text_is_the_shortest(spark):
+    """Digits as the shortest that read back, without an exponent, over all magnitudes; no Python in the plan."""
+    import random
+    import struct
+
+    import numpy as np
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from chanspark.functions.numbers import number_text
+
+    rng = random.Random(4)
+    values = [0.0, -0.0, 1.0, -7.0, 0.1, 100.0, 1e7, 9999999.0, 1e22, 1e23, 123456789012345680.0, 2.0**53, 1e-3, 9.99e-4, 2e-3, 1.5e-7, 5e-324, 1.7976931348623157e308, float("inf"), -float("inf"), float("nan"), 12.5, -3.25e-12, 2.0e-3, 1.0e300]
+    values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)] + [round(rng.uniform(-1e4, 1e4), rng.randint(0, 6)) for _ in range(2000)] + [float(rng.randint(-(10**17), 10**17)) for _ in range(500)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([*values, None])], "k long, v double").select("k", "v", number_text(F.col("v"), T.DoubleType()).alias("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        want = None if r.v is None else "NaN" if r.v != r.v else np.format_float_positional(r.v, unique=True, trim="-")
+        assert r.t == want, (r.v, r.t, want)

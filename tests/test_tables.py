@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 from chanspark.operators import tables as ops
 
 
-def test_asof_equals_pandas(spark):
+@pytest.mark.parametrize("most", [None, 7])
+def test_asof_equals_pandas(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(ops, "ASOF_ROWS", most)
+        found = ops._block([spark.createDataFrame([(0, 0.0), (0, 50.0), *((1, float(k)) for k in range(11))], "g int, t double")], "t", ["g"])
+        assert found == 5.0
     left = pd.DataFrame({"g": [k % 3 for k in range(200)], "t": [float((k * 37) % 101) for k in range(200)], "k": range(200)})
     right = pd.DataFrame({"g": [k % 3 for k in range(60)], "t": [float(k * 1.7) for k in range(60)], "v": range(60)})
     want = pd.merge_asof(left.sort_values("t"), right.sort_values("t"), on="t", by="g").set_index("k")["v"]

@@ -244,10 +244,22 @@ class MdfFile:
         save(df, self.path, layout, compression, append=True)
         return MdfFile(self.spark, self.path)
 
+    def thinned(self, name: str, points: int = 4000) -> DataFrame:
+        """A channel beside its master for drawing: of each of points stretches of rows the rows of its least and its greatest
+        value, in order; all rows if there are no more than that. Grouped by row number, so no key is hot."""
+        table = self.meta.table_of(name)
+        m = table.master.name if table.master else None
+        df = self.group(name, channels=[*([m] if m and m != name else []), name], rows=True)
+        if table.rows <= 2 * points:
+            return df.orderBy(ROW).drop(ROW)
+        row = F.struct(*map(q, df.columns))
+        ends = df.groupBy(F.floor(q(ROW) * points / table.rows).alias("__p")).agg(F.min_by(row, q(name)).alias("a"), F.max_by(row, q(name)).alias("b"))
+        return ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("r")).select("r.*").orderBy(ROW).drop(ROW)
+
     def plot(self, name: str):
-        """The channel over its master, by matplotlib if that is installed."""
+        """The channel over its master, by matplotlib if that is installed; long channels are thinned first."""
         m = self.master(name)
-        return self.select(*([m] if m and m != name else []), name).toPandas().plot(x=m if m != name else None, y=name)
+        return self.thinned(name).toPandas().plot(x=m if m != name else None, y=name)
 
 
 def arrow_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
@@ -392,22 +404,18 @@ def set_description(df: DataFrame, name: str, description: str) -> DataFrame:
 
 def set_master(df: DataFrame, name: str, sync_type: int = 1) -> DataFrame:
     """Makes a column the master of its table."""
-    for f in df.schema:
-        values = {"master": name} | ({"sync_type": sync_type} if f.name == name else {})
-        df = df.withMetadata(f.name, {**(f.metadata or {}), **values})
-    return df
+    return df.select(*[q(f.name).alias(f.name, metadata={**(f.metadata or {}), "master": name, **({"sync_type": sync_type} if f.name == name else {})}) for f in df.schema])
 
 
 def add_channel(df: DataFrame, name: str, value: Column, unit: str = "", description: str = "") -> DataFrame:
     if name in df.columns:
         raise ValueError(f"there is a channel {name!r}")
     master = next((f.metadata.get("master") for f in df.schema if f.metadata and f.metadata.get("master")), "")
-    return df.withColumn(name, value).withMetadata(name, {"unit": unit, "description": description, "master": master, "sync_type": 0})
+    return df.select(*map(q, df.columns), value.alias(name, metadata={"unit": unit, "description": description, "master": master, "sync_type": 0}))
 
 
 def set_data(df: DataFrame, name: str, value: Column) -> DataFrame:
-    meta = df.schema[name].metadata or {}
-    return df.withColumn(name, value).withMetadata(name, meta)
+    return df.select(*[value.alias(name, metadata=f.metadata or {}) if f.name == name else q(f.name) for f in df.schema])
 
 
 def remove_channel(df: DataFrame, name: str) -> DataFrame:
@@ -416,8 +424,5 @@ def remove_channel(df: DataFrame, name: str) -> DataFrame:
 
 def rename_channel(df: DataFrame, name: str, new: str) -> DataFrame:
     """Renames a column; where it is the master, the others follow."""
-    df = df.withColumnRenamed(name, new)
-    for f in df.schema:
-        if f.metadata and f.metadata.get("master") == name:
-            df = df.withMetadata(f.name, {**f.metadata, "master": new})
-    return df
+    follow = lambda f: {**(f.metadata or {}), "master": new} if (f.metadata or {}).get("master") == name else f.metadata or {}
+    return df.select(*[q(f.name).alias(new if f.name == name else f.name, metadata=follow(f)) for f in df.schema])

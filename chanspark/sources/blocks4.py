@@ -53,8 +53,8 @@ def xml_text(source: str) -> tuple[str, dict[str, str]]:
 
 
 class Parser:
-    def __init__(self, f: BinaryIO, path: str):
-        self.f, self.path = f, path
+    def __init__(self, f: BinaryIO, path: str, documents: bool = True):
+        self.f, self.path, self.documents = f, path, documents
         self.texts: dict[int, tuple[str, dict[str, str]]] = {}
         self.conversions: dict[int, Conversion | str | None] = {}
         self.sources: dict[int, Source | None] = {}
@@ -142,7 +142,7 @@ class Parser:
             text, tags = self.both(b.links[1])
             meta.history.append(History(*b.unpack("Qhh"), text, tags))
             at = b.links[0]
-        at = hd.links[3]
+        at = hd.links[3] if self.documents else 0
         while at:
             b = Block(self.f, at)
             meta.attachments.append(self.attachment(b))

@@ -29,7 +29,7 @@ from ..plans.partitions import PARTITION_BYTES, RowRange, row_ranges
 from .decode import ROW, GroupReader, arrow_type, read_rows
 from .files import listed, open_input
 from .model import Channel, Meta, Table
-from .read import read_meta
+from .read import read_meta, read_metas
 
 
 def column_metadata(c: Channel, table: Table) -> dict:
@@ -104,8 +104,8 @@ class MdfReader(DataSourceReader):
     def partitions(self) -> list[MdfPartition]:
         out: list[MdfPartition] = []
         first, target = 0, int(self.options.get("partitionbytes", PARTITION_BYTES))
-        for path in listed(self.options["path"]):
-            meta = read_meta(path)
+        paths = listed(self.options["path"])
+        for path, meta in zip(paths, read_metas(paths), strict=True):
             table = pick(meta, self.options)
             own = [c.name for _, c in table.columns() if c.name in self.names]
             low, high = self.window(path, table, first) if self.bounds else (0, table.rows)
@@ -157,7 +157,7 @@ class MdfDataSource(DataSource):
         if not files:
             raise FileNotFoundError(options["path"])
         names = json.loads(options["channels"]) if "channels" in options else None
-        return table_schema(pick(read_meta(files[0]), options), names)
+        return table_schema(pick(read_meta(files[0], False), options), names)
 
     def reader(self, schema: T.StructType) -> MdfReader:
         return MdfReader(self.lower(), schema)

@@ -429,3 +429,32 @@ def test_parquet_metadata(spark, tmp_path):
     (out,) = mdf.MdfFile(spark, path).export_parquet(str(tmp_path))
     meta = spark.read.parquet(out).schema["v"].metadata
     assert (meta["unit"], meta["file_name"], meta["master_channel"]) == ("V", "p.mf4", "t")
+
+
+def test_thinned(spark, tmp_path):
+    path = str(tmp_path / "t.mf4")
+    mdf.save(mdf.set_master(spark.range(10_000).coalesce(1).select((F.col("id") * 0.5).alias("t"), F.when(F.col("id") == 5555, 1e9).otherwise(F.col("id") % 7).alias("v")), "t"), path)
+    f = mdf.MdfFile(spark, path)
+    some = [(r.t, r.v) for r in f.thinned("v", 100).collect()]
+    assert len(some) == 200 and some == sorted(some) and (5555 * 0.5, 1e9) in some and min(v for _, v in some) == 0
+    assert f.thinned("v", 5000).count() == 10_000
+
+
+def test_edits_of_names_with_dots(spark):
+    df = mdf.set_master(spark.range(3).select(F.col("id").alias("a.b"), F.col("id").alias("c`d")), "a.b")
+    df = mdf.rename_channel(mdf.set_data(mdf.add_channel(df, "x.y", F.lit(1), "V"), "c`d", F.lit(2)), "a.b", "e.f")
+    assert df.columns == ["e.f", "c`d", "x.y"] and [tuple(r) for r in df.collect()] == [(k, 2, 1) for k in range(3)]
+    assert {f.name: f.metadata["master"] for f in df.schema} == dict.fromkeys(df.columns, "e.f") and df.schema["e.f"].metadata["sync_type"] == 1
+
+
+def test_many_files_by_threads(spark, tmp_path):
+    from chanspark.sources.read import read_metas
+
+    paths = []
+    for k in range(40):
+        paths.append(one_group(tmp_path / f"{k:03d}.mf4", [Field("a", 2, 64, 0)], struct.pack("<q", k) * (k + 1), 8))
+    assert [m.path for m in read_metas(paths)] == paths and list(read_metas([])) == []
+    mdf.register(spark)
+    got = spark.read.format("mdf").load(str(tmp_path))
+    assert sorted((r._row, r.a) for r in got.collect()) == list(enumerate(k for k in range(40) for _ in range(k + 1)))
+    assert [r.a for r in got.where("_row >= 819").collect()] == [39]

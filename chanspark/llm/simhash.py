@@ -110,7 +110,7 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forest edges of the buckets of a partition sorted by key. Holds one bucket and one batch at a time."""
-    key = fp = None
+    held: list[list[np.ndarray]] = []  # batches that have not been closed yet; all but the last are of one bucket
 
     def close(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         own = fp.view(np.int64)
@@ -128,16 +128,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
     for batch in batches:
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)]
-        if not len(new[0]):
+        if not batch.num_rows:
             continue
-        key, fp = new if key is None else [np.concatenate(x) for x in zip((key, fp), new, strict=True)]
+        held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)])
+        if held[0][0][0] == held[-1][0][-1]:
+            continue  # one bucket so far
+        key, fp = [np.concatenate(x) for x in zip(*held, strict=True)]
         last = int(np.searchsorted(key, key[-1], side="left"))  # the last bucket may go on in the next batch
-        if last:
-            yield close(key[:last], fp[:last])
-            key, fp = key[last:].copy(), fp[last:].copy()
-    if key is not None:
-        yield close(key, fp)
+        yield close(key[:last], fp[:last])
+        held = [[key[last:].copy(), fp[last:].copy()]]
+    if held:
+        yield close(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
 
 def connected(edges: DataFrame) -> DataFrame:

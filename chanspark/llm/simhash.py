@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, map_batches, text_of
+from .common import cut, map_arrow, map_batches, small, text_of
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+#: Components of more than one node (16 bytes each) whose names are broadcast at most; beyond, a join shuffles.
+MAX_COMPONENTS = 1_000_000
 _BLOCKS = [range(0, 21), range(21, 42), range(42, 64)]
 #: For each mask: the bits that are kept, and the variants to XOR in (none, or one kept bit).
 _MASKS = [np.uint64(sum(1 << b for b in range(64) if b not in block)) for block in _BLOCKS]
@@ -176,8 +178,8 @@ def components(prints: DataFrame) -> DataFrame:
 def named(prints: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
     """prints with the smallest id of each row's component and the component's number; nodes: fp and its smallest id."""
     roots = stars.union(stars.select("root", "root").distinct())
-    least = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("least"))
-    linked = roots.join(least, "root")
+    least = cut(roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("rep").alias("least")))
+    linked = roots.join(small(least, MAX_COMPONENTS), "root")  # by a broadcast, so a component of many nodes is no hot key
     names = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "fp").alias("component"))
     names = cut(names)  # so both sides of the last join are plain exchanges, which adaptive execution splits where copies make a key hot
     return prints.join(names, "fp", "left")

@@ -30,7 +30,7 @@ from .common import cut, map_arrow, map_batches, small, text_of
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: Components of more than one node (16 bytes each) whose names are broadcast at most; beyond, a join shuffles.
+#: Components of more than one node, or nodes (16 bytes each), that are broadcast at most; beyond, joins shuffle.
 MAX_COMPONENTS = 1_000_000
 _BLOCKS = [range(0, 21), range(21, 42), range(42, 64)]
 #: For each mask: the bits that are kept, and the variants to XOR in (none, or one kept bit).
@@ -157,12 +157,14 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
+        # There are two nodes for an edge at most; so few are broadcast, and a hub is no hot key of a join.
+        hand = F.broadcast if 2 * now[0] <= MAX_COMPONENTS else lambda x: x
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        edges = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), now[0])
+        edges = cut(both.join(hand(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), now[0])
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct(), 2 * now[0])
+        lesser = edges.join(hand(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(least.select("a", F.col("m").alias("b")))
+        edges = cut(lesser.distinct(), 2 * now[0])
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -89,3 +89,25 @@ def test_forest():
             assert 5 * len(plain[x] & plain[y]) >= 4 * len(plain[x] | plain[y])
             got = [got[x] if g == got[y] else g for g in got]
         assert len({*zip(own, got, strict=True)}) == len(set(own)) == len(set(got))
+
+
+def test_components_of_any_graph(spark, monkeypatch):
+    """Chains, hubs and random edges, with broadcasts and without."""
+    from chanspark.llm import simhash
+
+    rng = random.Random(12)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(1000, k) for k in range(1001, 1200)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(5, 5)]
+    own = {v: v for e in edges for v in e}
+
+    def find(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a, b in edges:
+        own[max(find(a), find(b))] = min(find(a), find(b))
+    want = {v: find(v) for v in own if find(v) != v}
+    table = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long")
+    for bound in (simhash.MAX_COMPONENTS, 0):
+        monkeypatch.setattr(simhash, "MAX_COMPONENTS", bound)
+        assert {r.node: r.root for r in simhash.connected(table).collect()} == want

@@ -116,7 +116,9 @@ def hits(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "do
 def _joined(base: DataFrame, spread: DataFrame, windows: DataFrame) -> DataFrame:
     """base with each document's shingles that are prefix tokens as an array c, by joins instead of a list."""
     tokens = windows.select(F.col("k").alias("wk"), F.col("hash").alias("wh")).distinct()
-    every = spread.select("id", "text_hash", F.explode("c").alias("x")).select("id", "text_hash", "x.*")
+    # Outer, as the optimizer would else test the arrays' size below the projection of the words, which it copies into the
+    # test and so splits the text again for every element.
+    every = spread.select("id", "text_hash", F.explode_outer("c").alias("x")).where("x IS NOT NULL").select("id", "text_hash", "x.*")
     met = every.join(small(tokens, MAX_BROADCAST_TOKENS), (F.col("k") == F.col("wk")) & (F.col("h") == F.col("wh")), "left_semi")
     # Copies with one id find the same; a set keeps each once.
     met = cut(met.groupBy(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.collect_set(F.struct("k", "at", "h")).alias("c")))

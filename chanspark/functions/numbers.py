@@ -55,5 +55,13 @@ def number_text(x: Column, kind: T.DataType) -> Column:
         )
 
     sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    text = F.when(F.isnan(x), F.lit("NaN")).when(raw == "Infinity", F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, bound(number, laid_out)))
+    plain = x.cast("string")
+    # Most numbers are whole or short, and need no more than one step.
+    text = (
+        F.when((x == F.rint(x)) & (size < 2.0**53) & (x != 0), x.cast("long").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7) & (F.length(plain) < 17), F.regexp_replace(plain, r"\.?0+$", ""))
+        .when(F.isnan(x), F.lit("NaN"))
+        .when(raw == "Infinity", F.concat(sign, F.lit("inf")))
+        .otherwise(F.concat(sign, bound(number, laid_out)))
+    )
     return F.when(x.isNotNull(), text)

@@ -53,7 +53,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash: bit i is set if it is set in over half the shingles' XXH64."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Of 64-bit hashes, the bits that are set in over half."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, dtype=np.int64)
@@ -110,11 +114,27 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges of the buckets of a partition sorted by key. Holds one bucket and one batch at a time."""
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and fingerprints of a partition sorted by key, cut between buckets. Holds one bucket and one batch at a time."""
     held: list[list[np.ndarray]] = []  # batches that have not been closed yet; all but the last are of one bucket
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)])
+        if held[0][0][0] == held[-1][0][-1]:
+            continue  # one bucket so far
+        key, fp = [np.concatenate(x) for x in zip(*held, strict=True)]
+        last = int(np.searchsorted(key, key[-1], side="left"))  # the last bucket may go on in the next batch
+        yield key[:last], fp[:last]
+        held = [[key[last:].copy(), fp[last:].copy()]]
+    if held:
+        key, fp = [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield key, fp
 
-    def close(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forest edges of the buckets of a partition sorted by key."""
+    for key, fp in whole_buckets(batches):
         own = fp.view(np.int64)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
@@ -127,20 +147,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(own[x]), b.append(own[y])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)])
-        if held[0][0][0] == held[-1][0][-1]:
-            continue  # one bucket so far
-        key, fp = [np.concatenate(x) for x in zip(*held, strict=True)]
-        last = int(np.searchsorted(key, key[-1], side="left"))  # the last bucket may go on in the next batch
-        yield close(key[:last], fp[:last])
-        held = [[key[last:].copy(), fp[last:].copy()]]
-    if held:
-        yield close(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Near copies by Jaccard similarity: texts that share SIMILARITY of their distinct shingles of SHINGLE words.
 
-SimHash of 64 bits does not reach this far: at a similarity of 0.8 some ten bits differ, where balls that can be hashed
-end at four. Candidates are found by minima of shingle hashes instead: ROWS minima make a band's key, and texts that agree
-in one of BANDS keys are compared on their whole sets of shingles (64-bit hashes), so no pair below the threshold is
-linked. A pair of similarity s is missed with a chance of (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, less above.
+Candidates come first from the SimHashes of the sets, by meet-in-the-middle ball hashing as in simhash: every pair of at
+most four differing bits meets. SimHash of 64 bits does not reach all the way: at a similarity of 0.8 some ten bits differ,
+where balls that can be hashed end at four. For the rest there are minima of shingle hashes: ROWS minima make a band's
+key, and texts that agree in one of BANDS keys are candidates too. All candidates are compared on their whole sets of
+shingles (64-bit hashes), so no pair below the threshold is linked. A pair of similarity s that is beyond four bits is
+missed with a chance of (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, less above.
 
 Texts with equal sets meet before anything is expanded. A bucket is never expanded into pairs: first every member is
 compared with the bucket's least member, and the links found, of all buckets, make components; then only buckets whose
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, map_batches, small, text_of
-from .simhash import SEED, connected, named, one_of_each, shingle_hashes
+from .simhash import RADIUS, SEED, _forest, _variants, connected, majority, named, one_of_each, shingle_hashes, whole_buckets
 
 SHINGLE = 5
 #: The threshold as a fraction, so that it is compared in whole numbers.
@@ -66,16 +68,47 @@ def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) ->
 
 
 def _prints(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Id, hash of the text, number of its set of shingles (fp) and band keys of every row."""
+    """Id, hash of the text, number of its set of shingles (fp), SimHash of the set (null if empty) and band keys of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
         numbers = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+        balls = pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64), mask=np.array([not len(s) for s in sets], dtype=bool))
         keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers), keys], names=["id", "text_hash", "fp", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers), balls, keys], names=["id", "text_hash", "fp", "simhash", "bands"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(text_of(text)).alias("text_hash"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_batches(rows, run, "id long, text_hash long, fp long, bands array<long>")
+    return map_batches(rows, run, "id long, text_hash long, fp long, simhash long, bands array<long>")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SimHashes that a bucket's links of at most RADIUS bits join: a row for each, under a hash of them all as their key."""
+    for key, fp in whole_buckets(batches):
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        two = starts[sizes == 2]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
+        found = list(np.unique(np.sort(np.stack([fp[two], fp[two + 1]], axis=1), axis=1), axis=0))
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            first, groups = {}, {}
+            for x, y in _forest(fp[s : s + n]):
+                first[y] = first.get(x, x)
+                groups.setdefault(first[y], [first[y]]).append(y)
+            found += [np.sort(fp[s : s + n][g]) for g in groups.values()]
+        if found:
+            names = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in found], dtype=np.uint64)
+            names = np.repeat(names, [len(g) for g in found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(found).view(np.int64))], names=["key", "simhash"])
+
+
+def meetings(prints: DataFrame) -> DataFrame:
+    """Buckets (key, fp) of the sets whose SimHashes are the same, or meet and are linked, by the ball hashing of simhash."""
+    own = cut(prints.where("simhash IS NOT NULL").select("simhash", "fp").distinct())
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = map_arrow(own.select("simhash").distinct(), _variants, "key long, fp long")
+    met = map_arrow(spread.repartition(parts, "key").sortWithinPartitions("key"), _met, "key long, simhash long").distinct()
+    same = own.groupBy("simhash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("simhash").alias("key"), "simhash")
+    return cut(own.join(met.union(same), "simhash").select("key", "fp"))
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,10 +168,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(docs: DataFrame, prints: DataFrame, n_sets: int, text: str = "text") -> DataFrame:
     """Star edges (node, root) of the components of prints' sets, of which there are n_sets different ones."""
-    spread = cut(prints.select(F.explode("bands").alias("key"), "fp").distinct(), BANDS * n_sets)
+    near = meetings(prints)
+    n_keys = BANDS * n_sets + near.count()
+    spread = cut(prints.select(F.explode("bands").alias("key"), "fp").union(near).distinct(), n_keys)
     buckets = spread.groupBy("key").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x")).where("n > 1")
     buckets = buckets.groupBy("rep", "n", "x").agg(F.min("key").alias("key"))  # of buckets with the same members one is enough
-    members = cut(spread.join(buckets, "key").select("key", "fp", "rep", "n"), BANDS * n_sets)
+    members = cut(spread.join(buckets, "key").select("key", "fp", "rep", "n"), n_keys)
     wanted = prints.groupBy("fp").agg(F.min("text_hash").alias("c_hash")).join(members.select("fp").distinct(), "fp", "left_semi")
     texts = docs.select(F.xxhash64(text_of(text)).alias("text_hash"), F.col(f"`{text}`").cast("string").alias("text"))
     texts = texts.join(small(cut(wanted, n_sets), MAX_CANDIDATES), F.col("text_hash") == F.col("c_hash")).select("fp", "text")
@@ -151,9 +186,9 @@ def links(docs: DataFrame, prints: DataFrame, n_sets: int, text: str = "text") -
 
     groups = stars.union(stars.select("root", "root").distinct())
     several = members.where("n > 2").join(groups, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("group"))
-    several = cut(several, BANDS * n_sets)
+    several = cut(several, n_keys)
     mixed = several.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("key")
-    rest = cut(several.join(mixed, "key", "left_semi"), BANDS * n_sets)
+    rest = cut(several.join(mixed, "key", "left_semi"), n_keys)
     if rest.isEmpty():
         return stars
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from chanspark.llm import similar
 from chanspark.llm.similar import forest, keep_one_similar
 
 from .helpers import LONG, PROSE, ROWS, docs, lower
@@ -14,6 +16,11 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def fingerprint_of(windows):
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w), 42) for w in windows]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def components(sets):
     group = list(range(len(sets)))
     for i, a in enumerate(sets):
@@ -71,6 +78,35 @@ def test_near_copies_beyond_simhash(spark):
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, "").collect()] == [1]
 
 
+def test_pairs_within_the_balls(spark):
+    """Without any minima, SimHashes of at most four differing bits still link all that are alike, and nothing else."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(12):
+        text = [f"word{rng.randrange(10**6)}" for _ in range(rng.choice((30, 100, 400)))]
+        for _ in range(8):
+            own = list(text)
+            for at in rng.sample(range(len(own)), rng.choice((0, 1, 1, 2, 5))):
+                own[at] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own), "en", "s"))
+    table = docs(spark, rows + [(900, None, "en", "s"), (901, " ", "en", "s")])
+    prints = similar._prints(table, "text", "doc_id").withColumn("bands", F.array().cast("array<long>"))
+    found = {r.id: r for r in prints.collect()}
+    assert found[900].simhash is None and found[901].simhash is None
+    sets, bits = [shingles(r[1]) for r in rows], [fingerprint_of(shingles(r[1])) for r in rows]
+    assert [found[k].simhash & (1 << 64) - 1 for k in range(len(rows))] == bits
+    near = lambda i, j: (bits[i] ^ bits[j]).bit_count() <= 4
+    like = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] != sets[j] and near(i, j)]
+    linked = [p for p in pairs if like(*p)]
+    assert len(linked) > 20 and len(linked) < len(pairs)
+    stars = {r.node: r.root for r in similar.links(table, prints, len({r.fp for r in found.values()})).collect()}
+    component = lambda k: stars.get(found[k].fp, found[k].fp)
+    assert all(component(i) == component(j) for i, j in linked)
+    groups = components(sets)
+    assert len({(component(k), groups[k]) for k in range(len(rows))}) == len({component(k) for k in range(len(rows))})
+
+
 def test_forest():
     """Members that are unlike the least one, but like each other, are joined too."""
     rng = np.random.default_rng(1)

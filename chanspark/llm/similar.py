@@ -1,11 +1,15 @@
 """Near copies by Jaccard similarity: texts that share SIMILARITY of their distinct shingles of SHINGLE words.
 
-Candidates come first from the SimHashes of the sets, by meet-in-the-middle ball hashing as in simhash: every pair of at
-most four differing bits meets. SimHash of 64 bits does not reach all the way: at a similarity of 0.8 some ten bits differ,
-where balls that can be hashed end at four. For the rest there are minima of shingle hashes: ROWS minima make a band's
-key, and texts that agree in one of BANDS keys are candidates too. All candidates are compared on their whole sets of
-shingles (64-bit hashes), so no pair below the threshold is linked. A pair of similarity s that is beyond four bits is
-missed with a chance of (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, less above.
+Candidates are found by SimHash and meet-in-the-middle ball hashing alone, with wider balls than in simhash: at a
+similarity of 0.8 some 15 of 100 bits differ, so ten of 64, where one ball of 64 bits that can be hashed ends at four. So
+each set has a SimHash of 1232 bits, of which each of MASKS masks keeps KEPT, as simhash's masks leave blocks out. Under a
+mask a set emits its bits and its variants, in which the FLIPS bits that are least certain (those whose sum is nearest to
+a change) are flipped in all ways; two sets meet where each differing bit is one of these on either side, up to four bits
+in all. The sums are of numbers from 0 to 15 made of a shingle's hash rather than of single bits, so that few shingles
+have certain and less certain bits, too. Those that meet are compared on the 64 bits of the plain SimHash and FURTHER ones
+that travel with the key, and those within REACH on their whole sets of shingles (64-bit hashes), so no pair below the
+threshold is linked. A mask joins a pair at 0.8 with a chance of 0.16 to 0.19 (simulated, 4 to 800 common shingles), so a
+pair at 0.8 is missed with a chance of 1 to 4 in 100,000, less above.
 
 Texts with equal sets meet before anything is expanded. A bucket is never expanded into pairs: first every member is
 compared with the bucket's least member, and the links found, of all buckets, make components; then only buckets whose
@@ -27,38 +31,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, map_batches, small, text_of
-from .simhash import RADIUS, SEED, _forest, _variants, connected, majority, named, one_of_each, shingle_hashes, whole_buckets
+from .simhash import SEED, connected, majority, named, one_of_each, shingle_hashes, whole_buckets
 
 SHINGLE = 5
 #: The threshold as a fraction, so that it is compared in whole numbers.
 SIMILARITY = (4, 5)
-ROWS = 5
-BANDS = 24
+#: Masks, bits that each keeps, and of these the least certain ones, which are flipped in all ways (so 2**FLIPS variants).
+MASKS = 56
+KEPT = 22
+FLIPS = 2
+#: Further bits that go with each variant, and of these and the SimHash's 64 those that may differ where two texts meet.
+FURTHER = 34
+REACH = 34
+#: Buckets of so many variants at most give their pairs, larger ones spanning forests.
+FEW = 16
 #: Texts (a hash and a number each) that are broadcast at most to fetch the shingles of candidates; beyond, the join shuffles.
 MAX_CANDIDATES = 1_000_000
 #: Sets of shingles (some kB each) that a checkpoint's file holds at least, where there are so many.
 SETS_PER_FILE = 5_000
 
+#: Words of 16 numbers from 0 to 15, a number for each bit, that are made of a shingle's hash.
+_WORDS = -(-(MASKS * KEPT + FURTHER) // 16)
 _RANDOM = np.random.default_rng(SEED)
-_FACTORS = _RANDOM.integers(0, 1 << 63, size=ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RANDOM.integers(0, 1 << 63, size=(ROWS, BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS, _MIX = _RANDOM.integers(0, 1 << 63, size=(2, _WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x000F000F000F000F)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band, none for an empty set."""
-    if not len(shingles):
-        return np.array([], dtype=np.int64)
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 1024):
-        least = np.minimum(least, (shingles[at : at + 1024, None] * _FACTORS).min(axis=0))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row, mix in zip(least.reshape(ROWS, BANDS), _MIX, strict=True):
-        keys = (keys ^ (keys >> np.uint64(29)) ^ row) * mix
-    return keys.view(np.int64)
+def margins(shingles: np.ndarray) -> np.ndarray:
+    """How far each bit of the wide SimHash is from changing, and to which side: its numbers' sum less half the most they can be, twice."""
+    sums = np.zeros(16 * _WORDS, dtype=np.int64)
+    for at in range(0, len(shingles), 256):  # so few that 16 bits hold a sum
+        words = shingles[at : at + 256, None] * _FACTORS
+        words ^= words >> np.uint64(32)
+        words *= _MIX
+        words ^= words >> np.uint64(29)
+        sums += np.concatenate([((words >> np.uint64(shift)) & _LANES).sum(axis=0).view("<u2") for shift in (0, 4, 8, 12)])
+    return 2 * sums - 15 * len(shingles)
+
+
+def wide_prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set: under each mask the kept bits and, above them, the places of the least certain ones (5 bits each); further bits."""
+    found = np.array([margins(s) for s in sets], dtype=np.int64).reshape(len(sets), -1)
+    masked = found[:, : MASKS * KEPT].reshape(len(sets), MASKS, KEPT)
+    cells = ((masked > 0) << np.arange(KEPT)).sum(axis=2)
+    least = np.argpartition(np.abs(masked), FLIPS - 1, axis=2)[:, :, :FLIPS]
+    cells |= (least << (KEPT + 5 * np.arange(FLIPS))).sum(axis=2)
+    further = ((found[:, MASKS * KEPT : MASKS * KEPT + FURTHER] > 0) << np.arange(FURTHER)).sum(axis=1)
+    return cells.astype("<u4"), further
 
 
 def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
@@ -68,33 +91,74 @@ def alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) ->
 
 
 def _prints(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Id, hash of the text, number of its set of shingles (fp), SimHash of the set (null if empty) and band keys of every row."""
+    """Id, hash of the text, number of its set of shingles (fp), SimHash of the set (null if empty) and wide_prints of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
-        numbers = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-        balls = pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64), mask=np.array([not len(s) for s in sets], dtype=bool))
-        keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers), balls, keys], names=["id", "text_hash", "fp", "simhash", "bands"])
+        parts = [_printed(batch.column(2).slice(at, 500).to_pylist()) for at in range(0, batch.num_rows, 500)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.concat_arrays(x) for x in zip(*parts, strict=True)]], names=["id", "text_hash", "fp", "simhash", "further", "cells"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(text_of(text)).alias("text_hash"), F.col(f"`{text}`").cast("string").alias("text"))
-    return map_batches(rows, run, "id long, text_hash long, fp long, simhash long, bands array<long>")
+    return map_batches(rows, run, "id long, text_hash long, fp long, simhash long, further long, cells binary")
+
+
+def _printed(texts: list[str | None]) -> list[pa.Array]:
+    sets = [shingle_set(t) for t in texts]
+    numbers = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+    simhash = pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64), mask=np.array([not len(s) for s in sets], dtype=bool))
+    cells, further = wide_prints(sets)
+    return [pa.array(numbers), simhash, pa.array(further), pa.array([c.tobytes() for c in cells], pa.binary())]
+
+
+def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each print: a row for every mask and variant, with the further bits below the key."""
+    ways = np.arange(1 << FLIPS, dtype=np.uint64)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            cells = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u4").reshape(-1, MASKS, 1).astype(np.uint64)
+            flips = np.zeros((*cells.shape[:2], len(ways)), dtype=np.uint64)
+            for k in range(FLIPS):
+                flips |= (ways >> np.uint64(k) & np.uint64(1)) << (cells >> np.uint64(KEPT + 5 * k) & np.uint64(31))
+            keys = (cells & np.uint64((1 << KEPT) - 1) ^ flips) | (np.arange(MASKS, dtype=np.uint64) << np.uint64(KEPT))[:, None]
+            keys = keys << np.uint64(FURTHER) | batch.column(1).to_numpy().view(np.uint64)[:, None, None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), MASKS << FLIPS))], names=["key", "simhash"])
+
+
+def _near(a: np.ndarray, b: np.ndarray, further_a: np.ndarray, further_b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b) + np.bitwise_count((further_a ^ further_b) & np.uint64((1 << FURTHER) - 1)) <= REACH
+
+
+def _groups(fp: np.ndarray, further: np.ndarray) -> list[np.ndarray]:
+    """The members of a bucket as its links join them: breadth first, over those not reached yet."""
+    found, left = [], np.arange(len(fp))
+    while len(left):
+        group, left = [left[0]], left[1:]
+        for x in group:
+            near = _near(fp[left], fp[x], further[left], further[x])
+            if near.any():
+                group += left[near].tolist()
+                left = left[~near]
+        found.append(np.array(group))
+    return found
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SimHashes that a bucket's links of at most RADIUS bits join: a row for each, under a hash of them all as their key."""
-    for key, fp in whole_buckets(batches):
+    """SimHashes that a bucket's links of at most REACH bits join: a row for each, under a hash of them all as their key."""
+    for key, fp in whole_buckets(batches, FURTHER):
+        own, key = key.view(np.uint64), key >> FURTHER
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
-        two = starts[sizes == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
-        found = list(np.unique(np.sort(np.stack([fp[two], fp[two + 1]], axis=1), axis=1), axis=0))
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            first, groups = {}, {}
-            for x, y in _forest(fp[s : s + n]):
-                first[y] = first.get(x, x)
-                groups.setdefault(first[y], [first[y]]).append(y)
-            found += [np.sort(fp[s : s + n][g]) for g in groups.values()]
+        few, pairs = np.repeat(sizes <= FEW, sizes), []
+        for step in range(1, FEW):
+            x = np.flatnonzero((key[step:] == key[:-step]) & few[step:])
+            if not len(x):
+                break
+            x = x[(fp[x] != fp[x + step]) & _near(fp[x], fp[x + step], own[x], own[x + step])]
+            pairs.append(np.sort(np.stack([fp[x], fp[x + step]], axis=1), axis=1))
+        found = list(np.unique(np.concatenate(pairs), axis=0)) if pairs else []
+        for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            groups = [np.unique(fp[s : s + n][g]) for g in _groups(fp[s : s + n], own[s : s + n])]
+            found += [g for g in groups if len(g) > 1]
         if found:
             names = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in found], dtype=np.uint64)
             names = np.repeat(names, [len(g) for g in found]).view(np.int64)
@@ -102,13 +166,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def meetings(prints: DataFrame) -> DataFrame:
-    """Buckets (key, fp) of the sets whose SimHashes are the same, or meet and are linked, by the ball hashing of simhash."""
-    own = cut(prints.where("simhash IS NOT NULL").select("simhash", "fp").distinct())
+    """Buckets (key, fp) of the sets whose SimHashes are the same, or whose variants meet within REACH."""
+    own = cut(prints.where("simhash IS NOT NULL").groupBy("fp").agg(*[F.first(c).alias(c) for c in ("simhash", "further", "cells")]))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = map_arrow(own.select("simhash").distinct(), _variants, "key long, fp long")
-    met = map_arrow(spread.repartition(parts, "key").sortWithinPartitions("key"), _met, "key long, simhash long").distinct()
+    spread = map_arrow(own.select("simhash", "further", "cells"), _wide_variants, "key long, simhash long")
+    met = map_arrow(spread.repartition(parts, F.shiftright("key", FURTHER)).sortWithinPartitions("key"), _met, "key long, simhash long").distinct()
     same = own.groupBy("simhash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("simhash").alias("key"), "simhash")
-    return cut(own.join(met.union(same), "simhash").select("key", "fp"))
+    return cut(own.select("simhash", "fp").join(met.union(same), "simhash").select("key", "fp"))
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -168,9 +232,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(docs: DataFrame, prints: DataFrame, n_sets: int, text: str = "text") -> DataFrame:
     """Star edges (node, root) of the components of prints' sets, of which there are n_sets different ones."""
-    near = meetings(prints)
-    n_keys = BANDS * n_sets + near.count()
-    spread = cut(prints.select(F.explode("bands").alias("key"), "fp").union(near).distinct(), n_keys)
+    spread = meetings(prints)
+    n_keys = spread.count()
     buckets = spread.groupBy("key").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x")).where("n > 1")
     buckets = buckets.groupBy("rep", "n", "x").agg(F.min("key").alias("key"))  # of buckets with the same members one is enough
     members = cut(spread.join(buckets, "key").select("key", "fp", "rep", "n"), n_keys)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -107,6 +108,57 @@ def test_pairs_within_the_balls(spark):
     assert len({(component(k), groups[k]) for k in range(len(rows))}) == len({component(k) for k in range(len(rows))})
 
 
+def test_balls_reach_the_threshold(spark):
+    """SimHashes alone, without any minima, find every pair of similarity 0.8, of few shingles and of many."""
+    rng = random.Random(11)
+    rows = []
+    for n in (4, 8, 20, 40, 200):
+        for _ in range(40):
+            words = [f"word{rng.randrange(10**6)}" for _ in range(n + n // 4 + 4)]
+            rows += [(len(rows), " ".join(words[: n + 4]), "en", "s"), (len(rows) + 1, " ".join(words), "en", "s")]
+    table = docs(spark, rows)
+    prints = similar._prints(table, "text", "doc_id").withColumn("bands", F.array().cast("array<long>"))
+    fp = {r.id: r.fp for r in prints.collect()}
+    sets = [shingles(r[1]) for r in rows]
+    bits = [fingerprint_of(s) for s in sets]
+    pairs = [(k, k + 1) for k in range(0, len(rows), 2)]
+    assert all(5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j]) for i, j in pairs)
+    assert sum((bits[i] ^ bits[j]).bit_count() > 4 for i, j in pairs) > 180
+    stars = {(r.node, r.root) for r in similar.links(table, prints, len(rows)).collect()}
+    assert stars == {(max(fp[i], fp[j]), min(fp[i], fp[j])) for i, j in pairs}
+
+
+def test_large_buckets(monkeypatch):
+    """Forests of large buckets join what the pairs of small ones join, across batches and whatever the further bits."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for bucket in range(1, 30):
+        centres = [rng.integers(0, 1 << 64, 2, dtype=np.uint64) for _ in range(3)]
+        for k in range(int(rng.integers(2, 40))):
+            simhash, further = centres[k % 3] ^ (np.uint64(1) << rng.integers(0, 64, 2, dtype=np.uint64))
+            rows.append((bucket << similar.FURTHER | int(further) & (1 << similar.FURTHER) - 1, int(simhash.view(np.int64))))
+    rows.sort()
+    batches = [pa.RecordBatch.from_pylist([{"key": a, "fp": b} for a, b in rows[at : at + 7]]) for at in range(0, len(rows), 7)]
+
+    def joined():
+        own = {}
+        for batch in similar._met(iter(batches)):
+            groups = {}
+            for r in batch.to_pylist():
+                groups.setdefault(r["key"], []).append(r["simhash"])
+            for group in groups.values():
+                least = min(own.get(x, x) for x in group)
+                held = {own.get(x, x) for x in group}
+                own |= {x: least for x in [*own, *group] if own.get(x, x) in held}
+        return own
+
+    found = []
+    for few in (1, similar.FEW, 100):
+        monkeypatch.setattr(similar, "FEW", few)
+        found.append(joined())
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) > 60
+
+
 def test_forest():
     """Members that are unlike the least one, but like each other, are joined too."""
     rng = np.random.default_rng(1)

@@ -114,24 +114,23 @@ def _forest(fp: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], below: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and fingerprints of a partition sorted by key, cut between buckets. Holds one bucket and one batch at a time.
+def whole_buckets(batches: Iterator[pa.RecordBatch], below: int = 0) -> Iterator[list[np.ndarray]]:
+    """Keys and other columns (unsigned) of a partition sorted by key, cut between buckets. Holds one bucket and one batch at a time.
 
     below: so many low bits of a key do not tell buckets apart."""
     held: list[list[np.ndarray]] = []  # batches that have not been closed yet; all but the last are of one bucket
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)])
+        held.append([batch.column(0).to_numpy(), *[c.to_numpy().view(np.uint64) for c in batch.columns[1:]]])
         if held[0][0][0] >> below == held[-1][0][-1] >> below:
             continue  # one bucket so far
-        key, fp = [np.concatenate(x) for x in zip(*held, strict=True)]
+        key, *others = [np.concatenate(x) for x in zip(*held, strict=True)]
         last = int(np.searchsorted(key, key[-1] >> below << below, side="left"))  # the last bucket may go on in the next batch
-        yield key[:last], fp[:last]
-        held = [[key[last:].copy(), fp[last:].copy()]]
+        yield [key[:last], *[x[:last] for x in others]]
+        held = [[key[last:].copy(), *[x[last:].copy() for x in others]]]
     if held:
-        key, fp = [np.concatenate(x) for x in zip(*held, strict=True)]
-        yield key, fp
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

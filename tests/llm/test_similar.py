@@ -159,6 +159,70 @@ def test_large_buckets(monkeypatch):
     assert found[0] == found[1] == found[2] and len(set(found[0].values())) > 60
 
 
+def much_alike(n, words=300, seed=17):
+    """Texts of one family, any two of similarity about 0.7."""
+    rng = random.Random(seed)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), 5):
+            own[at] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own), "en", "s"))
+    return rows
+
+
+def test_groups_are_not_expanded_into_pairs(spark, monkeypatch):
+    """Of texts that nearly all meet, a row each is kept of the meetings, and a row each is sent to be compared."""
+    sent, plain = [], similar.map_arrow
+
+    def counted(df, function, schema):
+        if function is similar._links:
+            sent.append(df.count())
+        return plain(df, function, schema)
+
+    monkeypatch.setattr(similar, "map_arrow", counted)
+    for n in (40, 80):
+        rows = much_alike(n)
+        sets = [shingles(r[1]) for r in rows]
+        below = sum(0.6 <= len(a & b) / len(a | b) < 0.8 for i, a in enumerate(sets) for b in sets[:i])
+        assert below > 0.9 * n * (n - 1) / 2
+        table = docs(spark, rows)
+        prints = similar._prints(table, "text", "doc_id").cache()
+        met = similar.meetings(prints)
+        assert met.count() == n and met.select("name").distinct().count() == 1
+        fp = {r.id: r.fp for r in prints.collect()}
+        stars = {r.node: r.root for r in similar.links(table, prints, n).collect()}
+        groups = components(sets)
+        named = {(stars.get(fp[k], fp[k]), groups[k]) for k in range(n)}
+        assert len(named) == len(set(groups)) == len({a for a, _ in named}) > 1
+    assert sent == [40, 80]
+
+
+def test_tiles(spark, monkeypatch):
+    """Groups that are cut into tiles, a few sets each, have the links that whole ones have; copies are sent once."""
+    rows = drifting(40) + [(d + 1000, t, a, s) for d, t, a, s in much_alike(30)] + [(d + 2000, t, a, s) for d, t, a, s in much_alike(30)]
+    want = kept_by_hand(rows)
+    assert 20 < len(want) < 65
+    for tile in (similar.TILE, 2000, 100):
+        monkeypatch.setattr(similar, "TILE", tile)
+        assert sorted((False, r.doc_id) for r in keep_one_similar(docs(spark, rows)).collect()) == want
+
+
+def test_later_masks_join_groups_only():
+    """Rows of a bucket that go by the same name say nothing; others join names, by 98 bits that are not the name's."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for bucket in range(1, 40):
+        bits, further = rng.integers(0, 1 << 63), rng.integers(0, 1 << similar.FURTHER)
+        rows += [(bucket << similar.FURTHER | int(further), int(bits), name) for name in [bucket] * int(rng.integers(2, 40)) + [bucket + 100] * (bucket % 3 == 0)]
+        rows.append((bucket << similar.FURTHER | int(further), int(~bits), bucket + 200))
+    rows.sort()
+    batches = [pa.RecordBatch.from_pylist([{"key": a, "bits": b, "name": c} for a, b, c in rows[at : at + 7]]) for at in range(0, len(rows), 7)]
+    found = {(r["key"], r["simhash"]) for batch in similar._met(iter(batches)) for r in batch.to_pylist()}
+    assert found == {(k, x) for k in range(3, 40, 3) for x in (k, k + 100)}
+
+
 def test_forest():
     """Members that are unlike the least one, but like each other, are joined too."""
     rng = np.random.default_rng(1)

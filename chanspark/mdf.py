@@ -8,6 +8,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import types as T
 from .functions.conversion import to_physical
 from .operators.tables import q
 from .session import ship
+from .sources import parts
 from .sources.datasource import MdfDataSource, table_schema
 from .sources.decode import ROW
 from .sources.files import listed, local
 from .sources.model import Meta, Table
 from .sources.read import read_meta
-from .sources.writer import column_of, write_file
+from .sources.writer import BLOCK_BYTES, Spool, Writer, column_of, record_bytes, sized
 
 #: Names of Parquet codecs, and those that Spark knows under another name.
 CODECS = {"snappy": "snappy", "gzip": "gzip", "lzo": "lzo", "brotli": "brotli", "lz4": "lz4", "lz4raw": "lz4_raw", "zstd": "zstd", "none": "none", "uncompressed": "none"}
@@ -337,7 +339,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_tables(tables: list[DataFrame], path: str, **options) -> None:
-    """Several DataFrames, with masters of their own, as the tables of one file: each is written by a task, behind those before."""
+    """Several DataFrames, with masters of their own, as the tables of one file, each behind those before."""
     to = local(path)
     if to is None:
         raise ValueError("measurement files are written to local or mounted folders only")
@@ -352,39 +354,81 @@ def write_tables(tables: list[DataFrame], path: str, **options) -> None:
 
 
 def save(df: DataFrame, path: str, layout: str = "columns", compression: bool | str = False, start_ns: int = 0, comments: dict[str, str] | None = None, append: bool = False) -> None:
-    """df as one measurement file, written by one task: its batches are streamed, not collected. append: as one more table
-    of a file that is there (it should not be read meanwhile; a task that is run again begins behind the old end).
+    """df as one measurement file, written by a task for each partition, each to its own stretch of the file: rows come in
+    order of the partitions. append: as one more table of a file that is there (it should not be read meanwhile; what an
+    attempt that failed has left behind the old end is not linked).
 
-    For data beyond one file, df.write.format("mdf") writes a file for each partition into a folder. The path must be one
-    that executors and driver share.
+    Texts, bytes and arrays need their widths in advance, so their batches are spooled once, beside the file. A folder of
+    files comes from df.write.format("mdf"). The path must be one that executors and driver share.
     """
     how = ("transpose" if compression == "transpose" else "deflate") if compression else None
-    schema, to = df.schema, local(path)
+    schema, to, spark = df.schema, local(path), df.sparkSession
     if to is None:
         raise ValueError("measurement files are written to local or mounted folders only")
-    ship(df.sparkSession)
-    for f in schema:
-        column_of(f, 1)  # raises for what cannot be written
+    ship(spark)
+    kinds = [column_of(f, 1) for f in schema]  # raises for what cannot be written
     names = schema.names
     os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
-    after = os.path.getsize(to) if append else None
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        if after is not None:
-            n = write_file(to, (b.rename_columns(names) for b in batches), schema, layout, how, after=after)
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["rows"])
-            return
-        part = f"{to}.{TaskContext.get().taskAttemptId()}.part"
-        n = write_file(part, (b.rename_columns(names) for b in batches), schema, layout, how, start_ns, comments)
-        os.replace(part, to)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["rows"])
-
-    done = df.toDF(*[f"c{k}" for k in range(len(names))]).coalesce(1).mapInArrow(run, "rows long").collect()
-    if not done:  # no partition, no task: a table without rows
-        write_file(to, iter(()), schema, layout, how, start_ns, comments, after)
+    with parts.folder(to) as into:
+        if any(isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType)) for f in schema):
+
+            def spool(batches, f):
+                seen = Spool("")
+                parts.arrow((b.rename_columns(names) for b in batches), f, seen.note)
+                return seen
+
+            raw = parts.spooled(df, into, spool)
+            widths = {n: max([1, *(p.said.widths.get(n, 1) for p in raw)]) for n in names}
+            shapes = {n: next((p.said.shapes[n] for p in raw if n in p.said.shapes), (1,) if isinstance(schema[n].dataType, T.ArrayType) else ()) for n in names}
+            columns = [column_of(f, widths[f.name], shapes[f.name]) for f in schema]
+
+            def encode(p):
+                with open(f"{p.path}.blocks", "wb") as f:
+                    said = written(parts.batches(p.path), f, columns, layout, how)
+                return parts.Part(f.name, os.path.getsize(f.name), said)
+
+            made = parts.everywhere(spark, raw, encode)
+        else:
+            columns = kinds
+            made = parts.spooled(df, into, lambda batches, f: written(batches, f, columns, layout, how))
+        stream = [(p.path, p.size) for p in made]
+        after = os.path.getsize(to) if append else None
+        whole = to if append else f"{into}/whole"
+        with open(whole, "r+b" if append else "w+b") as f:
+            w = Writer(f, "rows" if layout == "row" else layout, how, start_ns, comments, after)
+        w.start(columns)
+        w.rows = sum(p.said[0] for p in made)
+        if layout == "row" and how != "transpose":
+            blocks, end = parts.laid(spark, whole, w.at, stream, into, compression=how)
+            w.blocks = {0: blocks} if blocks else {}
+        else:
+            end = w.at
+            for p in made:
+                for k, some in p.said[1].items():
+                    w.blocks.setdefault(k, []).extend((end + at, n) for at, n in some)
+                for k, some in p.said[2].items():
+                    w.invalid.setdefault(k, []).extend(end + at for at in some)
+                end += p.size
+            parts.copied(spark, whole, w.at, stream)
+        with open(whole, "r+b") as f:
+            f.seek(end)
+            w.f, w.at = f, end
+            w.finish()
+        if not append:
+            os.replace(whole, to)
+
+
+def written(batches: Iterator[pa.RecordBatch], f: BinaryIO, columns: list, layout: str, how: str | None) -> tuple[int, dict, dict]:
+    """Writes a part's data blocks (for one block in all: its records) and returns its rows and the blocks' places."""
+    w = Writer(f, "rows" if layout == "row" else layout, how, part=True)
+    w.start(columns)
+    for batch in sized(batches, max(1, BLOCK_BYTES // record_bytes(columns))):
+        if layout == "row" and how != "transpose":
+            f.write(w.records(batch).tobytes())
+            w.rows += batch.num_rows
+        else:
+            w.write(batch)
+    return w.rows, w.blocks, w.invalid
 
 
 # Edits: tables are immutable, an edit is a new table

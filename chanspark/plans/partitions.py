@@ -10,7 +10,7 @@ from typing import BinaryIO
 
 import numpy as np
 
-from ..sources.model import Segment, Table
+from ..sources.model import PIECE, Segment, Table
 
 #: Bytes of records that a partition should have.
 PARTITION_BYTES = 32 << 20
@@ -29,6 +29,14 @@ class RowRange:
     first: int
 
 
+def piece(stored: bytes, adler: int) -> bytes:
+    """A piece of a compressed block, which may end without the mark of an end."""
+    data = zlib.decompressobj(-15).decompress(stored)
+    if zlib.adler32(data) != adler:
+        raise ValueError("a piece of a compressed block has another Adler sum")
+    return data
+
+
 class Stream:
     """A chain of segments as one stream of bytes; compressed segments are opened when touched, one at a time."""
 
@@ -44,7 +52,7 @@ class Stream:
         if self.opened[0] != k:
             s = self.segments[k]
             self.f.seek(s.offset)
-            data = zlib.decompress(self.f.read(s.stored))  # checks the Adler sum
+            data = piece(self.f.read(s.stored), s.param) if s.zip == PIECE else zlib.decompress(self.f.read(s.stored))  # both check the Adler sum
             if len(data) != s.size:
                 raise ValueError(f"a compressed block of {s.size} bytes has {len(data)}")
             if s.zip == 1 and s.param:

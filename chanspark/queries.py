@@ -69,7 +69,7 @@ _LINE_FIELDS = [Field("l_orderkey", 2, 64, 0), Field("l_linenumber", 2, 32, 8),
 
 def _built(spark: SparkSession, sf_dir: str, header: bool = False, compression: str | None = None, listed: bool = True) -> DataFrame:
     path = place(spark)
-    samples.build(table(spark, sf_dir, "lineitem").select(_LINE), path, partial(samples.straddling, kinds=["<i8", "<i4", "<f8", "<f8"], fields=_LINE_FIELDS, header=header, compression=compression, listed=listed))
+    samples.straddling(table(spark, sf_dir, "lineitem").select(_LINE), path, ["<i8", "<i4", "<f8", "<f8"], _LINE_FIELDS, header, compression, listed=listed)
     return mdf.MdfFile(spark, path).table(0)
 
 
@@ -121,7 +121,7 @@ def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_unsorted", "SELECT 0 AS tag, o_orderkey AS key, o_totalprice AS value, CAST(NULL AS INTEGER) AS rest FROM orders UNION ALL SELECT 1, event_id, value, CAST(event_id % 7 AS INTEGER) FROM events")
 def scan_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark)
-    samples.build(_two(spark, sf_dir).repartition(8, F.xxhash64("key")).sortWithinPartitions(F.xxhash64("tag", "key")), path, samples.mixed)
+    samples.mixture(_two(spark, sf_dir).repartition(F.xxhash64("key")).sortWithinPartitions(F.xxhash64("tag", "key")), path)
     file = mdf.MdfFile(spark, path)
     a, b = file.group("key_a"), file.group("key_b")
     return a.select(F.lit(0).alias("tag"), F.col("key_a").alias("key"), F.col("value_a").alias("value"), F.lit(None).cast("int").alias("rest")).union(b.select(F.lit(1), "key_b", "value_b", "rest_b"))
@@ -129,7 +129,7 @@ def scan_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _variable(spark: SparkSession, sf_dir: str, in_group: bool) -> DataFrame:
     path = place(spark)
-    samples.build(table(spark, sf_dir, "events").select("event_id", "event_type"), path, partial(samples.variable, in_group=in_group))
+    samples.variables(table(spark, sf_dir, "events").select("event_id", "event_type"), path, in_group)
     return mdf.MdfFile(spark, path).group("key").select(F.col("key").alias("event_id"), F.col("value").alias("event_type"))
 
 
@@ -141,7 +141,7 @@ def _decoded(spark: SparkSession, sf_dir: str, source: str, columns: list[tuple[
     """Columns (expression, number format) of a table as records, read by the fields."""
     path = place(spark)
     df = table(spark, sf_dir, source).select(*[F.expr(e).alias(f"c{k}") for k, (e, _) in enumerate(columns)])
-    samples.build(df, path, partial(samples.straddling, kinds=[k for _, k in columns], fields=fields))
+    samples.straddling(df, path, [k for _, k in columns], fields)
     return mdf.MdfFile(spark, path).table(0)
 
 
@@ -175,7 +175,7 @@ def bit_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def virtual_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark)
     fields = [Field("r_regionkey", 2, 32), Field("row_index", 0, 0, kind=6), Field("linear", 0, 0, kind=3, sync=1, conversion=Conversion(4, 1, [1.0, 0.5]))]
-    samples.build(table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey"), path, partial(samples.straddling, kinds=["<i4"], fields=fields))
+    samples.straddling(table(spark, sf_dir, "region").select("r_regionkey").orderBy("r_regionkey"), path, ["<i4"], fields)
     return mdf.MdfFile(spark, path).table(0)
 
 
@@ -279,13 +279,8 @@ def v3_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark, "file.mdf")
     doubles = lambda *v: samples.struct.pack(f"<{len(v)}d", *v)
     blocks = {"interpolated": (1, len(_POINTS), doubles(*_FLAT)), "tabular": (2, len(_POINTS), doubles(*_FLAT)), "rational": (9, 6, doubles(1, 0, 2, 0, 0.5, 3)), "formula": (10, 1, b"X1*X1/2-1".ljust(256, b"\0")), "exponential": (7, 7, doubles(2, 0.5, -1, 0, 0, 1, 0))}
-
-    def make(batches, path):
-        parts = [samples.packed(b, ["<i8", "<f8"]) for b in batches]
-        channels = [{"name": "event_id", "type": 1, "byte": 0, "bits": 64, "master": True}, *({"name": n, "type": 3, "byte": 8, "bits": 64, "cc": cc} for n, cc in blocks.items())]
-        samples.version3(path, b"".join(p.tobytes() for p in parts), sum(map(len, parts)), 16, channels)
-
-    samples.build(table(spark, sf_dir, "events").select("event_id", "value"), path, make)
+    channels = [{"name": "event_id", "type": 1, "byte": 0, "bits": 64, "master": True}, *({"name": n, "type": 3, "byte": 8, "bits": 64, "cc": cc} for n, cc in blocks.items())]
+    samples.version3_table(table(spark, sf_dir, "events").select("event_id", "value"), path, ["<i8", "<f8"], channels)
     return mdf.MdfFile(spark, path).table(0).select("event_id", *[c if c == "tabular" else F.round(c, 9).alias(c) for c in blocks])
 
 
@@ -308,13 +303,8 @@ def decode_canopen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v3_canopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as conversions 132 and 133 of a version 3 file."""
     path = place(spark, "file.mdf")
-
-    def make(batches, path):
-        parts = [samples.packed(b, [k for _, k in _DATE_BYTES]) for b in batches]
-        channels = [{"name": "event_id", "type": 1, "byte": 0, "bits": 64, "master": True}, {"name": "d", "type": 8, "byte": 8, "bits": 56, "cc": (132, 0, b"")}, {"name": "t", "type": 8, "byte": 15, "bits": 48, "cc": (133, 0, b"")}]
-        samples.version3(path, b"".join(p.tobytes() for p in parts), sum(map(len, parts)), 21, channels)
-
-    samples.build(table(spark, sf_dir, "events").select(*[F.expr(e).alias(f"c{k}") for k, (e, _) in enumerate(_DATE_BYTES)]), path, make)
+    channels = [{"name": "event_id", "type": 1, "byte": 0, "bits": 64, "master": True}, {"name": "d", "type": 8, "byte": 8, "bits": 56, "cc": (132, 0, b"")}, {"name": "t", "type": 8, "byte": 15, "bits": 48, "cc": (133, 0, b"")}]
+    samples.version3_table(table(spark, sf_dir, "events").select(*[F.expr(e).alias(f"c{k}") for k, (e, _) in enumerate(_DATE_BYTES)]), path, [k for _, k in _DATE_BYTES], channels)
     return _dates(mdf.MdfFile(spark, path).table(0))
 
 
@@ -330,7 +320,7 @@ def decode_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def meta_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark)
     numbers = table(spark, sf_dir, "region").select(*[F.lit(float(k)).alias(f"c{k}") for k in range(6)])
-    samples.build(numbers, path, partial(samples.straddling, kinds=["<f8"] * 6, fields=[Field("m", 4, 64, 0, shape=(2, 3), axes=((1.0, 2.0), (10.0, 20.0, 30.0)))]))
+    samples.straddling(numbers, path, ["<f8"] * 6, [Field("m", 4, 64, 0, shape=(2, 3), axes=((1.0, 2.0), (10.0, 20.0, 30.0)))])
     return mdf.MdfFile(spark, path).arrays().select("name", "order", F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x).cast("int").alias("cells"), F.array_join(F.get("axes", F.lit(1)).cast("array<string>"), ",").alias("second_axis"))
 
 
@@ -375,7 +365,7 @@ def meta_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channels of one name are told apart by their sources."""
     path = place(spark)
     fields = [Field("key", 2, 32, 0), Field("speed", 2, 32, 0, source=("engine", "ECU 1")), Field("speed", 2, 32, 0, source=("gearbox", "ECU 2"))]
-    samples.build(table(spark, sf_dir, "region").select("r_regionkey"), path, partial(samples.straddling, kinds=["<i4"], fields=fields))
+    samples.straddling(table(spark, sf_dir, "region").select("r_regionkey"), path, ["<i4"], fields)
     return mdf.MdfFile(spark, path).channels().select("name", "source_name", "source_path")
 
 
@@ -570,13 +560,8 @@ def edit_set_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _version3(spark: SparkSession, sf_dir: str) -> str:
     path = place(spark, "file.mdf")
-
-    def make(batches, path):
-        parts = [samples.packed(b, ["<i8", "<u4", "<f8"]) for b in batches]
-        channels = [{"name": "s_suppkey", "type": 1, "byte": 0, "bits": 64, "master": True}, {"name": "s_nationkey", "type": 0, "byte": 8, "bits": 32}, {"name": "s_acctbal", "type": 3, "byte": 12, "bits": 64, "unit": "EUR", "cc": (0, 2, samples.struct.pack("<dd", 1.0, 2.0))}]
-        samples.version3(path, b"".join(p.tobytes() for p in parts), sum(map(len, parts)), 20, channels)
-
-    samples.build(_supplier(spark, sf_dir), path, make)
+    channels = [{"name": "s_suppkey", "type": 1, "byte": 0, "bits": 64, "master": True}, {"name": "s_nationkey", "type": 0, "byte": 8, "bits": 32}, {"name": "s_acctbal", "type": 3, "byte": 12, "bits": 64, "unit": "EUR", "cc": (0, 2, samples.struct.pack("<dd", 1.0, 2.0))}]
+    samples.version3_table(_supplier(spark, sf_dir), path, ["<i8", "<u4", "<f8"], channels)
     return path
 
 

@@ -10,12 +10,15 @@ from dataclasses import replace
 from functools import reduce
 from typing import BinaryIO
 
-from .model import Array, Attachment, Channel, Conversion, Event, Group, History, Meta, Segment, Source
+from .model import PIECE, Array, Attachment, Channel, Conversion, Event, Group, History, Meta, Segment, Source
 
 #: Parts of CANopen dates and times: (name, byte, bit offset, bits).
 DATE_PARTS = (("ms", 0, 0, 16), ("min", 2, 0, 6), ("hour", 3, 0, 5), ("day", 4, 0, 5), ("month", 5, 0, 6), ("year", 6, 0, 7))
 TIME_PARTS = (("ms", 0, 0, 28), ("days", 4, 0, 16))
 BIG_ENDIAN = {1, 3, 5, 9, 16}
+#: What our list of places behind a compressed stream begins with at which decompression can begin; then their number, and of
+#: each the bytes of data, the stored bytes, and the Adler sum of the data. The stream is whole without it.
+RESTARTS = b"chanspark restarts\0\0\0\0\0\0"
 
 
 class Block:
@@ -103,30 +106,46 @@ class Parser:
         if b.id == b"##HL":
             b = Block(self.f, b.links[0], body=False) if b.links[0] else b
         if b.id not in (b"##DL", b"##LD"):
-            return ([self.segment(b.at)], [], b.id) if b.id != b"##HL" else ([], [], b.id)
+            return (self.segments(b.at), [], b.id) if b.id != b"##HL" else ([], [], b.id)
         kind = b.id
         while True:
             b = Block(self.f, b.at)
             links = b.links[1:]
             if kind == b"##LD" and b.unpack("I")[0] >> 31:
-                data += [self.segment(x) for x in links[0::2] if x]
-                invalid += [self.segment(x) for x in links[1::2] if x]
+                data += [s for x in links[0::2] if x for s in self.segments(x)]
+                invalid += [s for x in links[1::2] if x for s in self.segments(x)]
             else:
-                data += [self.segment(x) for x in links if x]
+                data += [s for x in links if x for s in self.segments(x)]
             if not b.links[0]:
                 return data, invalid, kind if first.id != b"##HL" else kind
             b = Block(self.f, b.links[0], body=False)
 
-    def segment(self, at: int) -> Segment:
+    def segments(self, at: int) -> list[Segment]:
+        """A data block as one segment, or as those that decompression can begin at, if the block lists them."""
         b = Block(self.f, at, body=False)
         if b.id == b"##DZ":
             self.f.seek(at + 24)
             _, zip_type, param, size, stored = struct.unpack("<2sBxIQQ", self.f.read(24))
-            return Segment(at + 48, size, stored, zip_type, param)
+            return (self.restarts(b, stored) if zip_type == 0 else []) or [Segment(at + 48, size, stored, zip_type, param)]
         if b.id in (b"##DT", b"##DV", b"##SD", b"##DI", b"##RD", b"##RV", b"##RI"):
-            return Segment(at + 24, b.length - 24)
+            return [Segment(at + 24, b.length - 24)]
         raise ValueError(f"unknown data block {b.id!r} at {at}")
 
+    def restarts(self, b: Block, stored: int) -> list[Segment]:
+        head = len(RESTARTS) + 8
+        if b.length < 48 + stored + head:
+            return []
+        self.f.seek(b.at + 48 + stored)
+        said = self.f.read(head)
+        if said[:-8] != RESTARTS:
+            return []
+        pieces, at = struct.iter_unpack("<3I", self.f.read(12 * int.from_bytes(said[-8:], "little"))), b.at + 50
+        out = []
+        for size, own, adler in pieces:
+            out.append(Segment(at, size, own, PIECE, adler))
+            at += own
+        return out
+
     def parse(self) -> Meta:
         self.f.seek(0)
         head = self.f.read(64)
@@ -206,7 +225,7 @@ class Parser:
                     c.values_group = next((x.record_id for x in own if x.position == c.values_group), None)
 
     def dz_kind(self, s: Segment) -> bytes:
-        self.f.seek(s.offset - 24)
+        self.f.seek(s.offset - (26 if s.zip == PIECE else 24))
         return self.f.read(2)
 
     def channels(self, at: int, out: list[Channel], base: int) -> None:

@@ -26,9 +26,14 @@ class Source:
     bus: int = 0
 
 
+#: The zip type of a piece of a compressed block.
+PIECE = -1
+
+
 @dataclass
 class Segment:
-    """A stretch of a byte stream: size bytes of it, stored at offset in the file, perhaps compressed."""
+    """A stretch of a byte stream: size bytes of it, stored at offset in the file, perhaps compressed: by zip type 0 or 1 of
+    the format, or (PIECE) as a piece of a larger compressed block that needs nothing before it; param is then its Adler sum."""
 
     offset: int
     size: int

@@ -62,19 +62,56 @@ def carried(df: DataFrame, order: list[Column], by: list[str], columns: list[str
     return joined.select(*[filled.get(n, F.col(f"a.`{n}`")).alias(n) for n in df.columns if n != "__t_block"])
 
 
+#: Grid points that stand in an array at once.
+GRID_POINTS = 10_000
+
+
+def _cell(n: str) -> str:
+    """The number of the stretch of GRID_POINTS that a grid point is in, negative ones too."""
+    return f"cast(floor({n} / {GRID_POINTS}D) as bigint)"
+
+
+def _numbers(cell: str) -> Column:
+    """The grid points of a stretch that lie in __t_a to __t_b."""
+    return F.expr(f"sequence(greatest(__t_a, {cell} * {GRID_POINTS}), least(__t_b, {cell} * {GRID_POINTS} + {GRID_POINTS - 1}))")
+
+
 def grid(df: DataFrame, master: str, step: float, by: list[str] | None = None) -> DataFrame:
     """Masters from the first step to the last one, every step, for each series. A series' grid is exploded in blocks."""
-    size = 10_000
     ends = df.where(q(master).isNotNull()).groupBy(*map(q, by or [])).agg(F.ceil(F.min(q(master)) / F.lit(float(step))).cast("long").alias("__t_a"), F.floor(F.max(q(master)) / F.lit(float(step))).cast("long").alias("__t_b")).where("__t_a <= __t_b")
-    blocks = ends.withColumn("__t_first", F.explode(F.expr(f"sequence(__t_a div {size}, __t_b div {size})")))
+    blocks = ends.withColumn("__t_first", F.explode(F.expr(f"sequence({_cell('__t_a')}, {_cell('__t_b')})")))
     spread = blocks.repartition(*map(q, by or []), "__t_first") if by else blocks.repartition("__t_first")
-    numbers = F.explode(F.expr(f"sequence(greatest(__t_a, __t_first * {size}), least(__t_b, __t_first * {size} + {size - 1}))"))
-    return spread.select(*map(q, by or []), numbers.alias("__t_n")).select(*map(q, by or []), (F.col("__t_n") * F.lit(float(step))).alias(master))
+    return spread.select(*map(q, by or []), F.explode(_numbers("__t_first")).alias("__t_n")).select(*map(q, by or []), (F.col("__t_n") * F.lit(float(step))).alias(master))
 
 
 def resample_previous(df: DataFrame, master: str, step: float, columns: list[str], by: list[str] | None = None, block_steps: int = 10_000) -> DataFrame:
-    """The last value at or before each grid point: one row for each point of grid()."""
-    return merge_asof(grid(df, master, step, by), df.select(*map(q, by or []), q(master), *map(q, columns)), master, by, block=block_steps * step)
+    """The last value at or before each grid point: one row for each point of grid().
+
+    Only df's rows are put in order, in blocks of the master's axis; each then makes the points from its master up to the next
+    row's, so the grid is neither shuffled nor sorted. A block's last row ends at the first row of the next block that has any.
+    """
+    keys, width = [*map(q, by or [])], F.lit(float(step))
+    rows = df.where(q(master).isNotNull()).select(*keys, q(master).cast("double").alias("__t_x"), F.struct(*map(q, columns)).alias("__t_v"))
+    rows = rows.withColumn("__t_block", F.floor(F.col("__t_x") / F.lit(float(block_steps * step))).cast("long"))
+    series = Window.partitionBy(*keys)
+    ends = rows.groupBy(*keys, "__t_block").agg(F.min("__t_x").alias("__t_low"), F.max("__t_x").alias("__t_high"))
+    ends = ends.select(*keys, "__t_block", F.lead("__t_low").over(series.orderBy("__t_block")).alias("__t_following"), (F.col("__t_block") == F.min("__t_block").over(series)).alias("__t_head"), F.ceil(F.min("__t_low").over(series) / width).cast("long").alias("__t_a"), F.floor(F.max("__t_high").over(series) / width).cast("long").alias("__t_b"))
+    within = Window.partitionBy(*keys, "__t_block").orderBy("__t_x", "__t_v")
+    local = rows.withColumns({"__t_next": F.lead("__t_x").over(within), "__t_first": F.lag("__t_x").over(within).isNull()})
+    x, n = F.col("__t_x"), F.col("__t_n")
+
+    def reached(x: Column) -> Column:
+        """The first grid point at or behind x; the division may be off by one."""
+        k = F.ceil(x / width).cast("long")
+        return F.when((k - 1) * width >= x, k - 1).when(k * width < x, k + 1).otherwise(k)
+
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*("`" + c.replace("`", "``") + "`" for c in by or []), "__t_block"]])
+    found = local.alias("a").join(ends.alias("b"), same).select(*[F.col("a.`" + c.replace("`", "``") + "`") for c in by or []], "__t_x", "__t_v", "__t_a", "__t_b", F.coalesce("__t_next", "__t_following").alias("__t_next"), (F.col("__t_first") & F.col("__t_head")).alias("__t_first"))
+    low = F.when(F.col("__t_first"), F.col("__t_a")).otherwise(F.greatest("__t_a", reached(x)))
+    high = F.when(F.col("__t_next").isNull(), F.col("__t_b")).otherwise(F.least("__t_b", reached(F.col("__t_next")) - 1))
+    points = found.select(*keys, "__t_x", "__t_v", low.alias("__t_a"), high.alias("__t_b")).where("__t_a <= __t_b")
+    points = points.withColumn("__t_n", F.explode(F.expr(f"sequence({_cell('__t_a')}, {_cell('__t_b')})"))).withColumn("__t_n", F.explode(_numbers("__t_n")))
+    return points.select(*keys, (n * width).alias(master), *[F.when(n * width >= x, F.col("__t_v")[c]).alias(c) for c in columns])
 
 
 def resample_linear(df: DataFrame, master: str, step: float, column: str, by: list[str] | None = None, block_steps: int = 10_000) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
@@ -42,6 +44,32 @@ def test_resample_on_a_grid(spark):
     assert {r.t: r.v for r in ops.resample_linear(df, "t", 1.0, "v", block_steps=2).collect()} == pytest.approx({1: 2, 2: 4, 3: 6, 4: 8, 5: 10})
 
 
+@pytest.mark.parametrize("block_steps", [3, 10_000])
+def test_previous_values_of_series_equal_pandas(spark, block_steps):
+    """Series with gaps, equal masters, nulls, one row, no grid point, masters below zero, steps that are not exact."""
+    step = 0.1
+    rows = [(k % 4, (k * 37 % 101 - 50) * 0.1 * (1 + k % 4), None if k % 7 == 0 else k) for k in range(150)] + [(8, -3.0, 1), (8, 40.0, 2), (9, 0.05, 3), (None, 0.3, 4), (None, 1.0, 5), (8, None, 6), (8, 40.0, 7)]
+    got = sorted(((r.g, r.t, r.v) for r in ops.resample_previous(spark.createDataFrame(rows, "g int, t double, v int"), "t", step, ["v"], ["g"], block_steps).collect()), key=repr)
+    want = []
+    for g in {r[0] for r in rows}:
+        own = sorted(((t, -1 if v is None else v) for h, t, v in rows if h == g and t is not None))
+        for n in range(math.ceil(own[0][0] / step), math.floor(own[-1][0] / step) + 1):
+            v = next((v for t, v in reversed(own) if t <= n * step), None)
+            want.append((g, n * step, None if v == -1 else v))
+    assert got == sorted(want, key=repr) and len(got) > 500
+
+
+def test_grid_points_are_not_sorted(spark):
+    """A grid far larger than its table goes through no shuffle."""
+    df = spark.range(0, 1000, 1, 2).select((F.col("id") % 10).alias("g"), (F.col("id") * 100.0).alias("t"), "id")
+    out = ops.resample_previous(df, "t", 1.0, ["id"], ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    made = max(k for k, line in enumerate(plan) if "Generate" in line)
+    assert made < min(k for k, line in enumerate(plan) if "Exchange" in line or "Sort " in line)
+    assert out.count() == 10 * 99_001
+    assert out.where("id > t / 100 or id <= t / 100 - 10").count() == 0
+
+
 def test_aggregates(spark):
     df = spark.createDataFrame([([1, 5], [[1.0], [-2.0]], "é"), (None, None, None)], "a array<int>, b array<array<double>>, `s.x` string")
     r = ops.min_max(df, ["a", "b"]).first()

@@ -383,11 +383,13 @@ def save(df: DataFrame, path: str, layout: str = "columns", compression: bool |
             columns = [column_of(f, widths[f.name], shapes[f.name]) for f in schema]
 
             def encode(p):
-                with open(f"{p.path}.blocks", "wb") as f:
+                with open(f"{into}/{uuid.uuid4().hex}", "wb") as f:  # a task that runs twice must not write over its own part
                     said = written(parts.batches(p.path), f, columns, layout, how)
                 return parts.Part(f.name, os.path.getsize(f.name), said)
 
             made = parts.everywhere(spark, raw, encode)
+            for p in raw:
+                os.remove(p.path)
         else:
             columns = kinds
             made = parts.spooled(df, into, lambda batches, f: written(batches, f, columns, layout, how))
